@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, golay_simhash, sharding, token_counts, topk_search, url_filter
+from . import decontaminate, golay_simhash, packing, sharding, token_counts, topk_search, url_filter
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay_simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(table(spark, sf_dir, "documents"), 24)
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op4_topk, op7_simhash, op8_token_counts, op9_url_filter, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op3_decontaminate, op4_topk, op6_packing, op7_simhash, op8_token_counts, op9_url_filter, op10_sharding)}
 
 ORACLE_SQL = {
     "op4_topk": """
