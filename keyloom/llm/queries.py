@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, golay_simhash, packing, sharding, token_counts, topk_search, url_filter
+from . import decontaminate, golay_simhash, html_wrapper, language_id, packing, sharding, token_counts, topk_search, toxicity, url_filter
 from .common import table
 
 
@@ -16,6 +16,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(table(spark, sf_dir, "documents"))
+
+
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -24,6 +32,10 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -44,7 +56,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(table(spark, sf_dir, "documents"), 24)
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op4_topk, op6_packing, op7_simhash, op8_token_counts, op9_url_filter, op10_sharding)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_language_id, op2_html_extract, op3_decontaminate, op4_topk, op5_toxicity, op6_packing, op7_simhash, op8_token_counts, op9_url_filter, op10_sharding)
+}
 
 ORACLE_SQL = {
     "op4_topk": """
