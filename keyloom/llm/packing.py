@@ -42,11 +42,21 @@ PLAIN = "\u0130"
 #: Characters of texts that are tokenised together.
 BATCH_CHARS = 2_000_000
 #: Entries of the memo of a Python worker; when full, it keeps the current batch's words only.
-MEMO = 1_000_000
+MEMO = 2_000_000
 
 _encoders: dict[str, WordEncoder] = {}
 
 
+def folded(text: str) -> str:
+    """Lower case, where that is certain to be the tokenizer's: fewer spellings to remember."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text.lower()
+
+
 class WordEncoder:
     """Token ids of texts for a tokenizer whose tokens never cross white space, memoised by word.
 
@@ -84,7 +94,7 @@ class WordEncoder:
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         odd = [any(x in t for x in ODD) for t in texts]
-        split = [[] if o else t.split() for o, t in zip(odd, texts, strict=True)]
+        split = [[] if o else folded(t).split() for o, t in zip(odd, texts, strict=True)]
         self.learn(set().union(*split))
         get = self.memo.__getitem__
         return [np.frombuffer(self._encode([t])[0] if o else b"".join(map(get, ws)), "<u2") for o, ws, t in zip(odd, split, texts, strict=True)]
