@@ -54,6 +54,18 @@ def keep_rows(df: DataFrame, text_col: str, mask: Callable[[], Callable[[list],
     return texts(df, *[F.col(f"`{c}`") for c in df.columns]).mapInArrow(run, df.schema)
 
 
+_held: dict = {}
+
+
+def kept_by_worker(key: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task: the last key's value only, since workers outlive the operators
+    that they serve, and the memos of several would add up in an executor's memory."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def slices(values: list, weight: Callable[[object], int], most: int) -> Iterator[tuple[int, int]]:
     """Bounds of runs of values whose weights add up to about `most`; one value is never cut."""
     lo, total = 0, 0

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, scan_width, texts
+from .common import durable, kept_by_worker, scan_width, texts
 
 SEED = 42
 BITS = 4
@@ -104,13 +104,9 @@ class Golay:
         return at, found[at, col].astype(np.int64)
 
 
-_golay: list[Golay] = []
-
 
 def golay() -> Golay:
-    if not _golay:
-        _golay.append(Golay())
-    return _golay[0]
+    return kept_by_worker("golay", Golay)
 
 
 def keys_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import kept_by_worker, slices, texts
 
 DIM = 512
 SEED = 20
@@ -32,8 +32,6 @@ UNKNOWN = "und"
 #: Three-grams whose vectors a Python worker keeps.
 KEPT = 50_000
 
-_spaces: list[Space] = []
-
 
 class Space:
     """Vectors of letters, three-grams and texts."""
@@ -100,9 +98,7 @@ class Space:
 
 
 def space() -> Space:
-    if not _spaces:
-        _spaces.append(Space())
-    return _spaces[0]
+    return kept_by_worker("language space", Space)
 
 
 def held_out(id_col: str, parts: int = 4, part: int = 2) -> Column:

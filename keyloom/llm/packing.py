@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import slices, texts
+from .common import kept_by_worker, slices, texts
 
 # Fixed values of BM25.
 K1, B = 1.2, 0.75
@@ -42,9 +42,7 @@ PLAIN = "\u0130"
 #: Characters of texts that are tokenised together.
 BATCH_CHARS = 2_000_000
 #: Entries of the memo of a Python worker; when full, it keeps the current batch's words only.
-MEMO = 2_000_000
-
-_encoders: dict[str, WordEncoder] = {}
+MEMO = 1_200_000
 
 
 def folded(text: str) -> str:
@@ -101,9 +99,7 @@ class WordEncoder:
 
 
 def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return kept_by_worker(("word encoder", path), lambda: WordEncoder(path))
 
 
 class Index:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, slices, texts
+from .common import durable, kept_by_worker, slices, texts
 from .language_id import held_out
 
 ORDER, SHARED = 5, 2
@@ -238,10 +238,8 @@ class Model:
     def scorer(self) -> Callable[[list], np.ndarray]:
         if self.ratios is None:
             return lambda values: np.zeros(len(values))
-        if id(self) not in _scorers:  # a Python worker's tasks share one memo
-            _scorers.clear()
-            _scorers[id(self)] = (self, Scorer(self.ratios))
-        statistic = _scorers[id(self)][1]
+        # the model that tasks of one broadcast share tells their memo from another's
+        _, statistic = kept_by_worker(("toxicity", id(self)), lambda: (self, Scorer(self.ratios)))
 
         def score(values: list) -> np.ndarray:
             return 1 / (1 + np.exp(-np.clip(self.slope * np.log(statistic(values) + FLOOR) + self.offset, -30, 30)))
@@ -249,9 +247,6 @@ class Model:
         return score
 
 
-_scorers: dict[int, tuple[Model, Scorer]] = {}
-
-
 def _parts(values: list[str | None]) -> Iterator[str]:
     """Texts joined into stretches of bounded size, lower case."""
     for lo, hi in slices(values, lambda t: len(t or ""), BATCH_CHARS):
