@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import bytes as fmt
 from ..functions import histogram, keys, workload
 from ..operators import changelog, compaction, lookup, scan, segments, view
+from ..sources import wal
+from ..sources.store import Store
+from ..streaming.ingest import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -219,3 +224,39 @@ simple("kv_escape", lambda s, d: s.read.parquet(f"{d}/customer.parquet").select(
 simple("kv_short_successor", lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", fmt.successor_udf(F.col("c_name").cast("binary")).cast("string").alias("after")), "SELECT c_custkey, chr(ascii(c_name)+1) AS after FROM customer")
 simple("kv_lcg", lambda s, d: workload.draws(s, 1000))
 simple("kv_workload_fill", lambda s, d: view.live(workload.fill(s, 20_000, "random")).agg(F.count("*").alias("keys"), F.max(F.length("value")).alias("longest")))
+
+
+# --- durable forms: written to the shared folder, or to one of our own where none is set
+def scratch(s: SparkSession, name: str) -> str:
+    return f"{s.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp(prefix='keyloom-')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"{WITH} SELECT user_key, seq, value FROM ov")
+def kv_store_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    """Two writes, a flush and a compaction, read from a store that is opened again."""
+    at = scratch(s, "store")
+    store, o = Store.open(s, at), s.read.parquet(f"{d}/orders.parquet")
+    key = keys.int_key(F.col("o_orderkey")).alias("user_key")
+    store.put(o.select(key, F.col("o_totalprice").alias("value")))
+    store.flush()
+    store.delete(o.where("o_orderstatus = 'F'").select(key))
+    store.flush()
+    store.maybe_compact()
+    store.vacuum()
+    return Store.open(s, at).live()
+
+
+@query(f"{WITH} SELECT user_key, seq, op, CAST(CAST(value * 100 AS BIGINT) AS VARCHAR) AS value FROM e")
+def kv_wal_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    log = events(s, d).withColumn("value", F.round(F.col("value") * 100).cast("bigint"))
+    return wal.decoded(wal.encoded(log))
+
+
+@query(f"{WITH} SELECT user_key, seq, value FROM ev")
+def kv_stream_ingest(s: SparkSession, d: str) -> DataFrame:
+    at = scratch(s, "stream")
+    store = Store.open(s, f"{at}/store")
+    schema = s.read.parquet(f"{d}/events.parquet").schema
+    stream = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    ingest(stream, store, lambda df: changelog.from_events(df).withColumnRenamed("seq", "event"), ["event"], f"{at}/checkpoint").awaitTermination()
+    return store.live()
