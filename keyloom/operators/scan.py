@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.keys import has_prefix
 from .ranges import carried, numbered, ranged
 
-KEY = F.col
-
 
 def range_scan(view: DataFrame, start: str | None = None, limit: str | None = None, reverse: bool = False) -> DataFrame:
     """Keys in [start, limit), in key order; None leaves an end open."""
@@ -49,11 +47,10 @@ def seek_many(view: DataFrame, targets: DataFrame, forward: bool = True, n: int
     asked = targets.select(F.col("target").alias("user_key")).distinct().withColumn("kind", F.lit(0)).withColumn("hit", F.lit(None).cast(keys.schema["hit"].dataType))
     # at equal keys the target comes first, so a forward seek meets the key and a backward one doesn't
     rows = ranged(keys.unionByName(asked), [F.col("user_key"), F.col("kind")], n)
-    w = Window.partitionBy("_range").orderBy("user_key", "kind")
-    if forward:
-        near = F.first("hit", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    else:
-        near = F.last("hit", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # a forward seek reads the order from its end: frames that grow row by row stay linear
+    order = [F.desc("user_key"), F.desc("kind")] if forward else [F.asc("user_key"), F.asc("kind")]
+    w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = F.last("hit", ignorenulls=True).over(w)
     rest = carried(rows, F.col("hit"), later=forward)
     found = rows.withColumn("near", near).where("kind = 0").join(F.broadcast(rest), "_range")
     hit = F.coalesce("near", "carry")
