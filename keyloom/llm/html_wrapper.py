@@ -41,7 +41,9 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 BLOCK = frozenset("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 OUT = frozenset("script style noscript template nav header footer aside form iframe svg canvas object embed audio video button select textarea input dialog menu head title".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-OUT_CLASS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|side-?bar|widget|footer|site-?header|page-?header|masthead|notices?|cookies?|consent|gdpr|alert|pop-?up|modal|overlay|comments?|comment-?list|disqus|replies|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|sign-?up|login|search|pagination|pager)(?:$|[\s_-])", re.I)
+OUT_CLASS = re.compile(r"(?:^|[\s_-])(?:ad(?:s\w*|box|slot|unit|zone|block)?|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|side-?bar|widget|footer|site-?header|page-?header|masthead|notices?|cookies?|consent|gdpr|alert|pop-?up|modal|overlay|comments?|comment-?list|disqus\w*|discussion|reactions|replies|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|sign-?up|login|search|pagination|pager)(?:$|[\s_-])", re.I)
+#: Classes that tell of a part elsewhere, not of this one: has-sidebar, with_ads.
+ELSEWHERE = re.compile(r"(?:has|with|without|no|hide|show)[_-]\S*|\S+[_-](?:has|with|without|no)[_-]\S*", re.I)
 #: Elements that an opening tag closes, if one of them is open.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table select article section div body html main nav aside form".split())
@@ -102,7 +104,9 @@ def parse(page: str) -> Node:
                 break
         attributes = {a[0].lower() or "hidden": html.unescape(a[1] or a[2] or a[3]) for a in ATTRIBUTE.findall(m[3])} if m[3].strip(" /") else {}
         names = " ".join(sorted(set((attributes.get("class", "") + " " + attributes.get("id", "")).split())))
-        out = tag in OUT or bool(names and OUT_CLASS.search(names)) or attributes.get("role", "").lower() in OUT_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
+        out = tag in OUT or bool(names and OUT_CLASS.search(ELSEWHERE.sub("", names))) or attributes.get("role", "").lower() in OUT_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
+        if tag == "header" and any(x.tag == "article" for x in stack):  # the article's own head, with its title
+            out = False
         if tag in ("html", "body", "article", "main"):
             out = False if tag != "article" else out and bool(re.search("comment|repl", names, re.I))
         node = Node("main" if attributes.get("role") == "main" else tag, f"{tag}.{re.sub(r'[0-9]+', '0', names)}" if names else tag, out)

@@ -23,6 +23,15 @@ def test_odd_pages():
     assert len(main_text("<article>" + "<p>word</p>" * 20_000)) == 20_000 * 6 - 2
 
 
+def test_classes():
+    page = """<body class="page with-sidebar"><div class="content-with-sidebar"><article class="post has-comments"><header><h1>T</h1></header><p>x</p>
+    <div class="adsbygoogle">buy</div><section id="reader-comments"><article class="comment">me</article></section></article></div>
+    <div class="left-sidebar">s</div><div id="cookie_notice">c</div><div role="search">q</div><div style="display: none">h</div></body>"""
+    assert main_text(page) == "T\n\nx"
+    plain = "<body><div id=top-menu>m</div><div id=address>a st</div><h2>H</h2>t<table><tr><td>1<td>2</table><p hidden>z</p></body>"
+    assert main_text(plain) == "a st\n\nH\n\nt\n\n1\n\n2"
+
+
 def host_pages(n):
     return [f"<body><div class=top>Always here</div><div class=c><h1>Head {i}</h1>{'<p>Text %d goes on and on.</p>' % i * (i % 3 + 1)}{'<em>opt</em>' * (i % 2)}</div><div class=low>Same {'x'}</div></body>" for i in range(n)]
 
