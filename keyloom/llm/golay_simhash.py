@@ -38,13 +38,16 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Rows of one key that are searched together; longer runs are cut by sub-keys first.
 RUN = 4096
 SHINGLES = 4
+#: An odd constant that mixes hashes.
+MIX = 0x9E3779B97F4A7C15
 
 
-def fingerprint(text: str | None, size: int = SHINGLES) -> int:
-    """Bit b is set if it is in over half of the hashes of the text's word shingles."""
+def fingerprint(text: str | None, size: int = SHINGLES, words: int = 1) -> tuple[int, ...]:
+    """Bit b is set if it is in over half of the hashes of the text's word shingles. Further words of the fingerprint
+    are made likewise of the hashes mixed once more."""
     seq = (text or "").encode().lower().split()
     if not seq:
-        return 0
+        return (0,) * words
     joined = b" ".join(seq)
     end = np.cumsum([len(w) + 1 for w in seq]).tolist()
     start = [0, *end[:-1]]
@@ -52,23 +55,29 @@ def fingerprint(text: str | None, size: int = SHINGLES) -> int:
     hashed = xxhash.xxh64_intdigest
     last = min(size, len(seq)) - 1
     h = np.fromiter((hashed(joined[a : b - 1], SEED) for a, b in zip(start[:n], end[last:], strict=True)), np.uint64, n)
-    bits = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
-        part = h[at : at + (1 << 16)]
-        bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * bits > n, bitorder="little").view(np.uint64)[0])
-
-
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and fp (the fingerprint's bits as a signed long)."""
+    out = []
+    for _ in range(words):
+        bits = np.zeros(64, np.int64)
+        for at in range(0, n, 1 << 16):
+            part = h[at : at + (1 << 16)]
+            bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * bits > n, bitorder="little").view(np.uint64)[0]))
+        h = (h ^ h >> np.uint64(31)) * np.uint64(MIX)
+        h ^= h >> np.uint64(29)
+    return tuple(out)
+
+
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLES, words: int = 1) -> DataFrame:
+    """id and fp0, fp1, ... (the fingerprint's words as signed longs)."""
     kind = df.schema[id_col].dataType.simpleString()
+    names = [f"fp{i}" for i in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], [id_col, "fp"])
+            fp = np.array([fingerprint(t, size, words) for t in b.column(1).to_pylist()], np.uint64).reshape(-1, words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(fp[:, i].copy()) for i in range(words))], [id_col, *names])
 
-    return texts(df, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    return texts(df, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{n} long" for n in names))
 
 
 class Golay:
@@ -138,61 +147,63 @@ def sub_keys(fp: np.ndarray, kind: int) -> list[np.ndarray]:
     return [fp >> np.uint64(at + a) & np.uint64((1 << (b - a)) - 1) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def linked(fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links that span the components of a set of fingerprints, as (from, to); none are left out."""
+def linked(fp: np.ndarray, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that span the components of a set of fingerprints (a row of words each), as (from, to)."""
     left = fp
     while len(left) > 1:
-        reached, left = left[:1], left[1:]
-        root = reached[0]
+        root, reached, left = left[:1], left[:1], left[1:]
         while len(reached) and len(left):
-            at, reached = reached[0], reached[1:]
-            close = np.bitwise_count(left ^ at) <= BITS
+            at, reached = reached[:1], reached[1:]
+            close = np.bitwise_count(left ^ at).sum(axis=1) <= bits
             if close.any():
                 found = left[close]
-                yield np.full(len(found), root), found
+                yield np.repeat(root, len(found), axis=0), found
                 left, reached = left[~close], np.concatenate([reached, found])
 
 
-def _run_links(fp: np.ndarray, kind: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _run_links(fp: np.ndarray, kind: int, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     if len(fp) <= RUN:
-        yield from linked(fp)
+        yield from linked(fp, bits)
         return
-    for cut in sub_keys(fp, kind):
+    for cut in sub_keys(fp[:, 0], kind):
         order = np.argsort(cut, kind="stable")
         for part in np.split(fp[order], np.flatnonzero(np.diff(cut[order])) + 1):
-            yield from linked(part)
+            yield from linked(part, bits)
 
 
-def links(distinct: DataFrame, partitions: int) -> DataFrame:
-    """a, b: fingerprints of which one leads to the other by steps of four bits or fewer."""
+def links(distinct: DataFrame, names: list[str], partitions: int, bits: int = BITS) -> DataFrame:
+    """a_, b_ and the names: fingerprints of which one leads to the other by steps of `bits` bits or fewer over all
+    words. Keys are of the first word: they miss no pair within BITS bits of it, and of those further apart many
+    share one."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = b.column(0).to_numpy()
+            fp = np.stack([c.to_numpy() for c in b.columns], axis=1)
             for at in range(0, len(fp), 2000):
                 part = fp[at : at + 2000]
-                row, key = keys_of(part.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row])], ["key", "fp"])
+                row, key = keys_of(part[:, 0].copy().view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(part[row, i]) for i in range(len(names)))], ["key", *names])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held_fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held_key, held_fp = np.zeros(0, np.int64), np.zeros((0, len(names)), np.int64)
 
-        def close(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def close(key: np.ndarray, signed: np.ndarray) -> Iterator[pa.RecordBatch]:
+            fp = np.ascontiguousarray(signed).view(np.uint64)
             edges = np.flatnonzero(np.r_[True, np.diff(key) != 0, True])
             size = np.diff(edges)
-            found = []
             two = edges[:-1][size == 2]  # most runs: compared all at once
-            near = two[np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= BITS]
-            found.append((fp[near], fp[near + 1]))
+            near = two[np.bitwise_count(fp[two] ^ fp[two + 1]).sum(axis=1) <= bits]
+            found = [(fp[near], fp[near + 1])]
             for lo, hi in zip(edges[:-1][size > 2].tolist(), edges[1:][size > 2].tolist(), strict=True):
-                found += [(a.view(np.int64), b.view(np.int64)) for a, b in _run_links(np.unique(fp[lo:hi].view(np.uint64)), int(key[lo] % 6))]
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            if len(a):
-                pairs = np.unique(np.c_[np.minimum(a, b), np.maximum(a, b)], axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+                found += _run_links(np.unique(fp[lo:hi], axis=0), int(key[lo] % 6), bits)
+            pairs = np.concatenate([np.concatenate(x) for x in zip(*found, strict=True)], axis=1).view(np.int64)
+            if len(pairs):
+                pairs = np.unique(pairs, axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i].copy()) for i in range(pairs.shape[1])], [f"{x}_{n}" for x in "ab" for n in names])
 
         for batch in batches:
-            held_key, held_fp = np.concatenate([held_key, batch.column(0).to_numpy()]), np.concatenate([held_fp, batch.column(1).to_numpy()])
+            fp = np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1)
+            held_key, held_fp = np.concatenate([held_key, batch.column(0).to_numpy()]), np.concatenate([held_fp, fp])
             # the last run may go on in the next batch
             cut = int(np.searchsorted(held_key, held_key[-1])) if len(held_key) else 0
             if cut:
@@ -201,8 +212,9 @@ def links(distinct: DataFrame, partitions: int) -> DataFrame:
         if len(held_key):
             yield from close(held_key, held_fp)
 
-    keyed = distinct.select("fp").mapInArrow(expand, "key long, fp long").repartition(partitions, "key").sortWithinPartitions("key")
-    return keyed.mapInArrow(search, "a long, b long").distinct()
+    words = ", ".join(f"{n} long" for n in names)
+    keyed = distinct.select(*names).mapInArrow(expand, f"key long, {words}").repartition(partitions, "key").sortWithinPartitions("key")
+    return keyed.mapInArrow(search, ", ".join(f"{x}_{n} long" for x in "ab" for n in names)).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -221,14 +233,20 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (hexadecimal), component_id (the least id of those reachable)."""
-    marked = fingerprints(df, id_col, text_col).withColumnRenamed(id_col, "doc_id")
-    marked = durable(marked)
-    wide = scan_width(marked)
-    distinct = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(distinct, max(wide, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
-    joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLES, bits: int = BITS, words: int = 1) -> DataFrame:
+    """doc_id, fingerprint (hexadecimal, its first word), component_id (the least id of those reachable).
+
+    With one word and bits up to BITS the links are complete. More words make the distance a sharper measure of the
+    texts' similarity, and more bits then reach further than the keys promise: use them to find copies, not to count.
+    """
+    names = [f"fp{i}" for i in range(words)]
+    # one word is its own node; several are known by a hash of them
+    node = lambda x="": F.col(f"{x}fp0") if words == 1 else F.xxhash64(*[F.col(x + n) for n in names])
+    marked = durable(fingerprints(df, id_col, text_col, size, words).withColumnRenamed(id_col, "doc_id").withColumn("node", node()))
+    wide = max(scan_width(marked), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    distinct = durable(marked.groupBy("node", *names).agg(F.min("doc_id").alias("least")))
+    roots = components(links(distinct, names, wide, bits).select(node("a_").alias("a"), node("b_").alias("b")))
+    joined = distinct.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = joined.join(least, "root").select("fp", "component_id")
-    return marked.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    known = joined.join(least, "root").select("node", "component_id")
+    return marked.join(known, "node").select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")

@@ -57,7 +57,7 @@ def test_links_span():
     rng = random.Random(5)
     base = [rng.getrandbits(64) for _ in range(6)]
     fps = np.unique(np.array([b ^ sum(1 << rng.randrange(64) for _ in range(2)) for b in base for _ in range(40)], np.uint64))
-    got = [(int(x), int(y)) for a, b in linked(fps) for x, y in zip(a, b, strict=True)]
+    got = [(int(x), int(y)) for a, b in linked(fps[:, None]) for x, y in zip(a[:, 0], b[:, 0], strict=True)]
     root = {int(f): int(f) for f in fps}
     find = lambda i: i if root[i] == i else find(root[i])
     assert len(got) < len(fps)
@@ -75,7 +75,8 @@ def test_links_span():
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="aB c\n\té ", max_size=60))
 def test_fingerprint(text):
-    assert fingerprint(text) == slow_fingerprint(text)
+    assert fingerprint(text) == (slow_fingerprint(text),)
+    assert fingerprint(text, words=2)[0] == slow_fingerprint(text)
 
 
 def data():
@@ -102,6 +103,22 @@ def test_against_brute_force(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_wider_fingerprints_find_similar_texts(spark):
+    rng = random.Random(11)
+    vocab = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(900)]
+    docs, same = [], []
+    for k in range(60):
+        seq = rng.choices(vocab, k=400)
+        copy = list(seq)
+        for _ in range(4):  # about 0.9 of the five-word shingles stay
+            copy[rng.randrange(len(copy))] = "edited"
+        docs += [(2 * k, " ".join(seq)), (2 * k + 1, " ".join(copy))]
+        same.append((2 * k, 2 * k + 1))
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), size=5, bits=22, words=2).collect()}
+    assert sum(got[b] == a for a, b in same) >= 50
+    assert all(c in (d, d - d % 2) for d, c in got.items())
+
+
 def test_long_runs_lose_no_pair(monkeypatch):
     monkeypatch.setattr(golay_simhash, "RUN", 4)
     rng = random.Random(2)
@@ -111,5 +128,5 @@ def test_long_runs_lose_no_pair(monkeypatch):
             base = rng.getrandbits(64)
             pair = {base, base ^ sum(1 << b for b in rng.sample(range(at, at + n), errors))}
             fps = np.unique(np.array([*pair, *(rng.getrandbits(64) for _ in range(6))], np.uint64))
-            found = {frozenset((int(x), int(y))) for a, b in golay_simhash._run_links(fps, kind) for x, y in zip(a, b, strict=True)}
+            found = {frozenset((int(x), int(y))) for a, b in golay_simhash._run_links(fps[:, None], kind) for x, y in zip(a[:, 0], b[:, 0], strict=True)}
             assert frozenset(pair) in found

@@ -19,7 +19,7 @@ def test_stages(spark):
         now = {r.doc_id: r for r in rows}
         assert len(now) == len(rows) and now.keys() <= was.keys()
         if name == "simhash_dedup":
-            groups = {r.doc_id: r.component_id for r in near_duplicates(kept).collect()}
+            groups = {r.doc_id: r.component_id for r in near_duplicates(kept, size=P.COPY_WORDS, bits=P.COPY_BITS, words=2).collect()}
             assert now.keys() == set(groups.values())
         if name == "decontaminate":
             windows = {tuple(w[i : i + 8]) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect() for w in [words(r.text)] for i in range(len(w) - 7)}
