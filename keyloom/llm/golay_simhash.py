@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, kept_by_worker, scan_width, texts
@@ -218,8 +218,15 @@ def links(distinct: DataFrame, names: list[str], partitions: int, bits: int = BI
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root (its component's least node) of every node of the links; edges: a, b."""
-    edges = durable(edges)
+    """node and root (its component's least node) of every node of the links; edges: a, b.
+
+    A tight group is linked once for each run that it shares, from that run's first member. So first each node is tied
+    to the least of its links' first members, and those members to it: as many links as nodes, and a few between first
+    members. (A node has a link for each of its keys at most, which bounds a window's group.)
+    """
+    least = F.min("a").over(Window.partitionBy("b"))
+    tied = durable(edges).select("a", "b", least.alias("p"))
+    edges = durable(tied.select(F.col("p").alias("a"), "b").unionByName(tied.select(F.col("p").alias("a"), F.col("a").alias("b")).where("a != b")).distinct())
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
     labels = durable(both.groupBy("node").agg(F.least("node", F.min("other")).alias("root")))
     while True:
