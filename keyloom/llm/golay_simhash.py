@@ -38,6 +38,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Rows of one key that are searched together; longer runs are cut by sub-keys first.
 RUN = 4096
 SHINGLES = 4
+#: Rounds that tie links to fewer members before components are searched.
+TIES = 3
 #: An odd constant that mixes hashes.
 MIX = 0x9E3779B97F4A7C15
 
@@ -225,8 +227,10 @@ def components(edges: DataFrame) -> DataFrame:
     members. (A node has a link for each of its keys at most, which bounds a window's group.)
     """
     least = F.min("a").over(Window.partitionBy("b"))
-    tied = durable(edges).select("a", "b", least.alias("p"))
-    edges = durable(tied.select(F.col("p").alias("a"), "b").unionByName(tied.select(F.col("p").alias("a"), F.col("a").alias("b")).where("a != b")).distinct())
+    edges = durable(edges)
+    for _ in range(TIES):
+        tied = edges.select("a", "b", least.alias("p"))
+        edges = durable(tied.select(F.col("p").alias("a"), "b").unionByName(tied.select(F.col("p").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
     labels = durable(both.groupBy("node").agg(F.least("node", F.min("other")).alias("root")))
     while True:
