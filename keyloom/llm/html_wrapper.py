@@ -7,11 +7,13 @@ texts never change over a host's pages (its template) and which container holds
 
 A page's article is its article element, else its main element, else the container that the wrapper found. Out of it
 (and of the page, where there is neither) go menus, headers, footers, sidebars, notices, adverts, forms, comments and
-the like, told by tag, role and class, and, outside an article, the texts that the wrapper says never change.
+the like, told by tag, role and class, and the texts that the wrapper says never change. A host has a wrapper for each
+branch of its pages: of the articles, of the main elements, and of the whole pages that mark neither. Each is judged by
+its own pages; where nothing of a branch changes, template and text can't be told apart and all of it stays.
 
-Wrappers are folded where pages are read, one for each host in a task, so that a host with any number of pages leaves
-a wrapper a task; these are folded again by host in a stream. Only hosts whose wrapper has something to tell beyond the
-page's own marks become rules. Rules are broadcast below RULE_BYTES and joined by host above.
+Wrappers are folded where pages are read, one for each host and branch in a task, so that a host with any number of
+pages leaves a few wrappers a task; these are folded again by host in a stream. Only hosts whose wrappers have something
+to tell beyond the page's own marks become rules. Rules are broadcast below RULE_BYTES and joined by host above.
 
 Cases: null and empty pages, and pages without an article's text, have empty text; a null url has the empty host;
 broken and cut markup is read as far as it goes; repeated rows each keep a row; an empty table gives an empty result;
@@ -122,12 +124,26 @@ def parse(page: str) -> Node:
 # A wrapper: [key, repeated, optional, pages, children] for tags; ["#", constant's hash or None, optional, pages, characters].
 
 
-def wrapper_of(node: Node) -> list:
-    """The wrapper of one page."""
+def wrapper_of(node: Node, with_out: bool = True) -> list:
+    """The wrapper of one page, or of a part of it; with_out says if it has what is no article."""
     if node.tag == "#":
         text = " ".join(html.unescape(node.text).split())
         return ["#", zlib.crc32(text.encode()), False, 1, len(text)]
-    return [node.key, False, False, 1, _grouped([wrapper_of(c) for c in node.children if c.tag not in ("script", "style")])]
+    return [node.key, False, False, 1, _grouped([wrapper_of(c, with_out) for c in node.children if c.tag not in ("script", "style") and (with_out or not c.out)])]
+
+
+def branch_of(root: Node) -> tuple[str, list[Node]]:
+    """The mark of a page's article and the elements that have it; no mark, and the page, if there is none."""
+    for tag in ("article", "main"):
+        if found := _find(root, lambda x, tag=tag: x.tag == tag and not x.out):
+            return tag, found
+    return "", [root]
+
+
+def page_wrapper(root: Node) -> list:
+    """The wrapper of a page's own branch, whose mark is its key."""
+    branch, found = branch_of(root)
+    return [branch, False, False, 1, _grouped([wrapper_of(x, False) for x in found])] if branch else wrapper_of(root)
 
 
 def _grouped(items: list[list]) -> list[list]:
@@ -188,12 +204,14 @@ def expression(w: list) -> str:
     return f"({inner}){mark}" if mark else inner
 
 
-def _slots(w: list, path: str = "") -> Iterator[tuple[str, list]]:
+def _slots(w: list, path: str, pages: int) -> Iterator[tuple[str, list, int]]:
+    """Path, text and pages of each text: inside repeated groups counts are of repeats, so the least above it holds."""
+    pages = min(pages, w[3])
     if w[0] == "#":
-        yield path, w
+        yield path, w, pages
     else:
         for c in w[4]:
-            yield from _slots(c, f"{path}>{c[0]}" if c[0] != "#" else path)
+            yield from _slots(c, f"{path}>{c[0]}" if c[0] != "#" else path, pages)
 
 
 def _size(w: list) -> int:
@@ -202,16 +220,16 @@ def _size(w: list) -> int:
 
 
 def rules_of(w: list) -> tuple[list[str], str]:
-    """Paths of a host's unchanging texts, and of the container with most of its changing text; both empty if pages
-    mark their article or if there are too few pages to tell."""
-    slots = list(_slots(w))
-    if w[3] < LEAST_PAGES or any(re.search(r">(article|main)\b", p) for p, _ in slots) or all(s[1] is not None for _, s in slots):
+    """Paths (from the branch's mark) of the unchanging texts of a host's branch, and of the container with most of its
+    changing text, if pages of the branch don't mark it; both empty if there are too few pages to tell."""
+    slots = list(_slots(w, w[0], w[3]))
+    if w[3] < LEAST_PAGES or all(s[1] is not None for _, s, _ in slots):
         return [], ""
     fixed: dict[str, bool] = {}
-    for p, s in slots:
-        fixed[p] = fixed.get(p, True) and s[1] is not None and s[3] >= LEAST_PAGES
+    for p, s, pages in slots:
+        fixed[p] = fixed.get(p, True) and s[1] is not None and pages >= LEAST_PAGES
     at, path = w, ""
-    while True:
+    while not w[0]:
         inner = [c for c in at[4] if c[0] != "#" and not c[1]]
         big = max(inner, key=_size, default=None)
         if big is None or 10 * _size(big) < 7 * _size(at) or big[0].split(".")[0] not in BLOCK or big[0] in ("p", "ul", "ol"):
@@ -263,10 +281,10 @@ def blocks(nodes: list[tuple[Node, str]], fixed: frozenset[str]) -> list[str]:
 
 def main_text(page: str | None, rules: tuple[list[str], str] = ((), "")) -> str:
     root = parse(page or "")
-    for tag in ("article", "main"):
-        if found := _find(root, lambda x, tag=tag: x.tag == tag and not x.out):
-            return "\n\n".join(blocks([(x, "article") for x in found], frozenset()))
     fixed, path = rules
+    branch, found = branch_of(root)
+    if branch:
+        return "\n\n".join(blocks([(x, f"{branch}>{x.key}") for x in found], frozenset(fixed)))
     node = root
     for key in path.split(">")[1:]:
         node = next((c for c in node.children if c.key == key), None)
@@ -277,43 +295,41 @@ def main_text(page: str | None, rules: tuple[list[str], str] = ((), "")) -> str:
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host and wrapper (pickled) of every host."""
+    """host, branch and wrapper (pickled) of every host's branches."""
+    schema = "host string, branch string, wrapper binary"
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
-
-        def send() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([pickle.dumps(w) for w in held.values()], pa.binary())], ["host", "wrapper"])
-
+        held: dict[tuple[str, str], list] = {}
         for b in batches:
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if page:
-                    w = wrapper_of(parse(page))
-                    held[host] = aligned(held[host], w) if host in held else w
+                    w = page_wrapper(parse(page))
+                    at = host, w[0]
+                    held[at] = aligned(held[at], w) if at in held else w
             if len(held) >= HELD:
-                yield send()
+                yield _sent(list(held.items()))
                 held.clear()
-        yield send()
+        yield _sent(list(held.items()))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, w = None, None
         for b in batches:
-            done: list[tuple[str, list]] = []
-            for host, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            done: list[tuple[tuple[str, str], list]] = []
+            for host, branch, data in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 new = pickle.loads(data)
-                if host == last and w is not None:
+                if (host, branch) == last and w is not None:
                     w = aligned(w, new)
                 else:
                     done += [(last, w)] if w is not None else []
-                    last, w = host, new
+                    last, w = (host, branch), new
             yield _sent(done)
         yield _sent([(last, w)] if w is not None else [])
 
-    def _sent(done: list[tuple[str, list]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([h for h, _ in done], pa.string()), pa.array([pickle.dumps(w) for _, w in done], pa.binary())], ["host", "wrapper"])
+    def _sent(done: list[tuple[tuple[str, str], list]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at[0] for at, _ in done], pa.string()), pa.array([at[1] for at, _ in done], pa.string()), pa.array([pickle.dumps(w) for _, w in done], pa.binary())], ["host", "branch", "wrapper"])
 
-    parts = texts(pages, host_of(F.col(url_col)).alias("host"), F.col(html_col)).mapInArrow(fold, "host string, wrapper binary")
-    return parts.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(meet, "host string, wrapper binary")
+    parts = texts(pages, host_of(F.col(url_col)).alias("host"), F.col(html_col)).mapInArrow(fold, schema)
+    return parts.repartition("host").sortWithinPartitions("host", "branch", "wrapper").mapInArrow(meet, schema)
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -321,11 +337,13 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(h, *rules_of(pickle.loads(w))) for h, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            found = [(h, *rules_of(pickle.loads(w))) for h, w in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
             found = [x for x in found if x[1] or x[2]]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.list_(pa.string())), pa.array([x[2] for x in found], pa.string())], ["host", "fixed", "container"])
 
-    rules = durable(wrappers(pages, url_col, html_col).mapInArrow(judge, "host string, fixed array<string>, container string"))
+    rules = wrappers(pages, url_col, html_col).mapInArrow(judge, "host string, fixed array<string>, container string")
+    # a host's branches together: their paths start with their marks, and one of them at most has a container
+    rules = durable(rules.groupBy("host").agg(F.flatten(F.collect_list("fixed")).alias("fixed"), F.max("container").alias("container")))
     size = rules.agg(F.sum(F.length("host") + F.length("container") + F.length(F.array_join("fixed", ",")))).first()[0] or 0
     rows = texts(pages, F.col(id_col), F.col(url_col), F.col(html_col), host_of(F.col(url_col)).alias("host"))
     rows = rows.join(F.broadcast(rules) if size <= RULE_BYTES else rules, "host", "left").select(id_col, url_col, html_col, "fixed", "container")

@@ -64,3 +64,25 @@ def test_given_pages(spark):
         body = re.sub(r"(?s).*<article>|</article>.*", "", r.html)
         parts = [" ".join(html.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", x))).split()) for x in re.split(r"</?(?:p|h1)>", body)]
         assert got[r.page_id] == "\n\n".join(x for x in parts if x)
+
+
+def marked_pages(n, tag="article"):
+    return [f"<body><{tag} class=post><h1>Head {i}</h1><div class=kicker>Our house line</div><p>Text {i} is new.</p>{'<ul class=w><li>yes<li>yes<li>yes<li>yes<li>yes</ul>' * (i == 3)}<p>And {i} more.</p></{tag}><div>{i}</div></body>" for i in range(n)]
+
+
+def test_template_inside_articles(spark):
+    """Unchanging texts of an article go, whatever their class; five repeats on one page are not five pages."""
+    plain = [f"<body><div class=top>Always here</div><div class=c><h1>Plain {i}</h1><p>Words {i}.</p></div></body>" for i in range(6)]
+    few = [f"<body><article><p>Few {i}</p><div class=kicker>Our house line</div></article></body>" for i in range(3)]
+    same = ["<body><article><h1>Same</h1><p>copy</p></article></body>"] * 6
+    rows = [*(("h", p) for p in marked_pages(6)), *(("m", p) for p in marked_pages(6, "main")), *(("h", p) for p in plain), *(("p", p) for p in plain), ("p", "<main>One marked page</main>"), *(("f", p) for p in few), *(("s", p) for p in same)]
+    df = spark.createDataFrame([(i, f"http://{h}.example/{i}", p) for i, (h, p) in enumerate(rows)], "page_id long, url string, html string").repartition(3)
+    got = [r.text for r in sorted(main_texts(df).collect(), key=lambda r: r.page_id)]
+    for at in (0, 6):
+        assert got[at + 1] == "Head 1\n\nText 1 is new.\n\nAnd 1 more."
+        assert got[at + 3] == "Head 3\n\nText 3 is new.\n\n" + "yes\n\n" * 5 + "And 3 more."
+    for at in (12, 18):  # marked pages of the host leave the unmarked ones' rules alone
+        assert got[at : at + 6] == [f"Plain {i}\n\nWords {i}." for i in range(6)]
+    assert got[24] == "One marked page"
+    assert got[25] == "Few 0\n\nOur house line"
+    assert got[28] == "Same\n\ncopy"
