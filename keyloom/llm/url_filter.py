@@ -7,10 +7,11 @@ labelled table may add more).
 Tree: a path's segments lose their variable parts by shape (digits, hexadecimal or long tokens become wildcards, a
 file ending stays). Per host, a level whose children are many and none of them large becomes one wildcard child; then
 sibling branches merge whose grandchildren are spread alike and whose labelled shares don't differ. Each template's
-purity is its share of blocked labels, smoothed towards its host's and that towards the whole table's; urls of a
-template are blocked when its purity reaches `reject`. Everything is counted over all rows: urls are added up by
-(host, shape) before any shuffle by host, and a hot host stays a few rows a shape. Segments beyond `depth` join the
-last one as a single wildcard.
+purity is its share of blocked labels, smoothed towards its host's share (of all its urls, so that unlabelled ones count
+as not blocked) and that towards the whole table's; urls of a template that has labels itself are blocked when its
+purity reaches `reject`. Distinct urls (host and path) are counted, so verdicts don't change with the number of times
+that a table has its rows. They are added up by (host, shape) before any shuffle by host, and a hot host stays a few
+rows a shape. Segments beyond `depth` join the last one as a single wildcard.
 
 Cases: null urls and urls without "://" have empty host and path, no rule, and the verdict of the empty host's
 template; repeated rows each keep a row; an empty table gives an empty result; other columns are not carried.
@@ -92,7 +93,8 @@ def judge(df: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: str
     rows = df.select(F.col(id_col), host.alias("host"), path.alias("path"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     rows = rows.select(id_col, "host", "path", rule.alias("rule"), verdict.alias("said"), F.array_join(shape_of(F.col("path"), depth), "/").alias("shape"))
-    tree = rows.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count(F.when(F.col("said") == "block", 1)).alias("bad"), F.count("said").alias("known"))
+    urls = rows.select("host", "path", "shape", "said").distinct()
+    tree = urls.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count(F.when(F.col("said") == "block", 1)).alias("bad"), F.count("said").alias("known"))
     tree = tree.withColumn("t", F.filter(F.split("shape", "/"), lambda s: s != ""))
     tree = durable(tree)  # each level reads it several times
     for level in range(depth):
@@ -100,11 +102,11 @@ def judge(df: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: str
     leaf = tree.withColumn("template", F.concat(F.lit("/"), F.array_join("t", "/")))
     bad, known = leaf.agg(F.sum("bad"), F.sum("known")).first()
     base = (bad or 0) / max(known or 0, 1)
-    hosts = leaf.groupBy("host").agg(F.sum("bad").alias("hb"), F.sum("known").alias("hk"))
+    hosts = leaf.groupBy("host").agg(F.sum("bad").alias("hb"), F.sum("n").alias("hn"))
     kept = leaf.groupBy("host", "template").agg(F.sum("bad").alias("tb"), F.sum("known").alias("tk"))
-    host_share = (F.col("hb") + prior_rows * base) / (F.col("hk") + prior_rows)
-    purity = kept.join(hosts, "host").select("host", "template", ((F.col("tb") + prior_rows * host_share) / (F.col("tk") + prior_rows)).alias("purity"))
+    host_share = (F.col("hb") + prior_rows * base) / (F.col("hn") + prior_rows)
+    purity = kept.join(hosts, "host").select("host", "template", "tk", ((F.col("tb") + prior_rows * host_share) / (F.col("tk") + prior_rows)).alias("purity"))
     judged = leaf.select("host", "shape", "template").join(purity, ["host", "template"])
     out = rows.join(judged, ["host", "shape"], "left")
-    verdict = F.coalesce("said", F.when(F.col("purity") >= reject, "block").otherwise("allow"))
+    verdict = F.coalesce("said", F.when((F.col("tk") > 0) & (F.col("purity") >= reject), "block").otherwise("allow"))
     return out.select(id_col, "host", "path", "rule", verdict.alias("verdict"), "template", "purity")

@@ -49,3 +49,24 @@ def test_templates(spark):
 @pytest.mark.parametrize("rows", [[], [(None, None)], [(1, "http://a.b/c")] * 3])
 def test_cases(spark, rows):
     assert judge(spark.createDataFrame(rows, "page_id long, url string")).count() == len(rows)
+
+
+def test_verdicts_do_not_follow_the_number_of_rows(spark):
+    """A host whose labelled urls are all blocked, one with a mixed template, and one that is blocked by its template."""
+    urls = [f"http://a.example.com/{lang}/{i}.html" for lang in ("de", "en", "fr") for i in range(4)] + [f"http://m.test/x/{i}" for i in range(1, 30)] + [f"http://b.test/y/{i}" for i in range(1, 60)]
+    rules = [*RULES, ("m.test", "/x/1", "block"), *((("b.test", f"/y/{i}", "block")) for i in range(1, 6))]
+    once = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    seen = []
+    for times in (1, 10, 100):
+        many = once.crossJoin(spark.range(times).select("id")).drop("id")
+        got = judge(many, rules).groupBy("page_id", "verdict").count().collect()
+        assert len(got) == len(urls) and all(r["count"] == times for r in got)
+        seen.append({r.page_id: r.verdict for r in got})
+    assert seen[0] == seen[1] == seen[2]
+    assert [seen[0][i] for i in range(12)] == ["block"] * 4 + ["allow"] * 8
+
+
+def test_more_urls_of_a_host_block_no_template_without_labels(spark):
+    urls = [f"http://a.example.com/{lang}/{i}.html" for lang in ("de", "en") for i in range(2000)]
+    got = judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert all(r.verdict == ("block" if r.path.startswith("/de/") else "allow") for r in got)
