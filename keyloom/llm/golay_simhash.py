@@ -11,7 +11,8 @@ codewords. Nothing is missed for want of a key; candidates are verified bit by b
 Only distinct fingerprints are keyed. Rows of a key lie next to each other after one shuffle; a run of them is linked
 by a search that compares each reached fingerprint with those not yet reached, so a tight group of g fingerprints
 costs about g comparisons and leaves g - 1 links, never all pairs. A run longer than RUN is first cut by sub-keys:
-the six ranges of the third segment, of which four errors leave at least one exact; no pair is lost by that.
+the six ranges of the third segment, of which four errors leave at least one exact; no pair is lost by that. Where more
+than four bits may differ, no such cut is exact, and long runs are searched whole.
 Components come from rounds of min-label propagation with shortcuts over these links, each round checkpointed.
 
 Cases: null texts have no words; texts without words have fingerprint zero and are linked like others; repeated rows
@@ -164,7 +165,7 @@ def linked(fp: np.ndarray, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.nd
 
 
 def _run_links(fp: np.ndarray, kind: int, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    if len(fp) <= RUN:
+    if len(fp) <= RUN or bits > BITS:
         yield from linked(fp, bits)
         return
     for cut in sub_keys(fp[:, 0], kind):

@@ -130,3 +130,15 @@ def test_long_runs_lose_no_pair(monkeypatch):
             fps = np.unique(np.array([*pair, *(rng.getrandbits(64) for _ in range(6))], np.uint64))
             found = {frozenset((int(x), int(y))) for a, b in golay_simhash._run_links(fps[:, None], kind) for x, y in zip(a[:, 0], b[:, 0], strict=True)}
             assert frozenset(pair) in found
+
+
+def test_long_runs_of_wide_fingerprints_lose_no_pair(monkeypatch):
+    monkeypatch.setattr(golay_simhash, "RUN", 4)
+    rng = random.Random(3)
+    at, n = SEGMENTS[2]
+    edges = np.linspace(0, n, 7).astype(int)[:-1]
+    base = rng.getrandbits(64)
+    other = base ^ sum(1 << (at + int(e)) for e in edges)  # differs in each of the six ranges
+    fps = np.array([[base, 0], [other, (1 << 16) - 1], *([rng.getrandbits(64), rng.getrandbits(64)] for _ in range(6))], np.uint64)
+    found = {frozenset((int(x[0]), int(y[0]))) for a, b in golay_simhash._run_links(fps, 0, 22) for x, y in zip(a, b, strict=True)}
+    assert found == {frozenset((base, other))}
