@@ -21,9 +21,9 @@ from keyloom.llm.queries import tokenizer_path
 
 #: Cosine with the nearest language below which a text is in none of the learned languages.
 LEAST_LANGUAGE = 0.12
-#: Near copies: five-word shingles, and bits of 128 in which texts of a similarity (Jaccard) of 0.8 differ on average,
-#: with a little room.
-COPY_WORDS, COPY_BITS = 5, 22
+#: Near copies: five-word shingles, words of a fingerprint, and bits of all its words in which texts of a similarity
+#: (Jaccard) of 0.8 differ at most, but for three standard deviations; then their shingles decide.
+COPY_WORDS, COPY_PRINTS, COPY_BITS = 5, 3, 44
 #: Toxicity score from which a document goes.
 MOST_TOXIC = 0.7
 
@@ -54,7 +54,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the least id."""
-    found = golay_simhash.near_duplicates(docs, size=COPY_WORDS, bits=COPY_BITS, words=2)
+    found = golay_simhash.near_duplicates(docs, size=COPY_WORDS, bits=COPY_BITS, words=COPY_PRINTS)
     copies = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 

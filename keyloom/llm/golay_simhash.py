@@ -15,6 +15,10 @@ the six ranges of the third segment, of which four errors leave at least one exa
 than four bits may differ, no such cut is exact, and long runs are searched whole.
 Components come from rounds of min-label propagation with shortcuts over these links, each round checkpointed.
 
+Fingerprints of several words serve to find similar texts. Each word then has keys (pairs of segments only), and the
+components are candidates: the distinct texts of each are compared by their sets of word shingles, exactly, and those
+of a Jaccard similarity of `similar` or more are linked. A component's shingles are held by one task.
+
 Cases: null texts have no words; texts without words have fingerprint zero and are linked like others; repeated rows
 each keep a row; null ids never become a component's id unless it has no other; an empty table gives an empty result;
 other columns are not carried.
@@ -43,21 +47,36 @@ SHINGLES = 4
 TIES = 3
 #: An odd constant that mixes hashes.
 MIX = 0x9E3779B97F4A7C15
+#: Candidates that are sent to all tasks to pick their texts; more are joined.
+SENT = 500_000
 
 
-def fingerprint(text: str | None, size: int = SHINGLES, words: int = 1) -> tuple[int, ...]:
-    """Bit b is set if it is in over half of the hashes of the text's word shingles. Further words of the fingerprint
-    are made likewise of the hashes mixed once more."""
+def hashes(text: str | None, size: int) -> np.ndarray:
+    """Hashes of a text's word shingles, in their order."""
     seq = (text or "").encode().lower().split()
     if not seq:
-        return (0,) * words
+        return np.zeros(0, np.uint64)
     joined = b" ".join(seq)
     end = np.cumsum([len(w) + 1 for w in seq]).tolist()
     start = [0, *end[:-1]]
     n = max(1, len(seq) - size + 1)
     hashed = xxhash.xxh64_intdigest
     last = min(size, len(seq)) - 1
-    h = np.fromiter((hashed(joined[a : b - 1], SEED) for a, b in zip(start[:n], end[last:], strict=True)), np.uint64, n)
+    return np.fromiter((hashed(joined[a : b - 1], SEED) for a, b in zip(start[:n], end[last:], strict=True)), np.uint64, n)
+
+
+def digest(text: str | None) -> int:
+    """A hash of a text's words as a signed long: texts of the same words have the same."""
+    return xxhash.xxh64_intdigest(b" ".join((text or "").encode().lower().split()), SEED + 1) - (1 << 63)
+
+
+def fingerprint(text: str | None, size: int = SHINGLES, words: int = 1) -> tuple[int, ...]:
+    """Bit b is set if it is in over half of the hashes of the text's word shingles. Further words of the fingerprint
+    are made likewise of the hashes mixed once more."""
+    h = hashes(text, size)
+    n = len(h)
+    if not n:
+        return (0,) * words
     out = []
     for _ in range(words):
         bits = np.zeros(64, np.int64)
@@ -71,16 +90,17 @@ def fingerprint(text: str | None, size: int = SHINGLES, words: int = 1) -> tuple
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLES, words: int = 1) -> DataFrame:
-    """id and fp0, fp1, ... (the fingerprint's words as signed longs)."""
+    """id and fp0, fp1, ... (the fingerprint's words as signed longs); several words come with the text's digest."""
     kind = df.schema[id_col].dataType.simpleString()
     names = [f"fp{i}" for i in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t, size, words) for t in b.column(1).to_pylist()], np.uint64).reshape(-1, words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(fp[:, i].copy()) for i in range(words))], [id_col, *names])
+            more = [pa.array([digest(t) for t in b.column(1).to_pylist()], pa.int64())] if words > 1 else []
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(fp[:, i].copy()) for i in range(words)), *more], [id_col, *names, *["digest"] * len(more)])
 
-    return texts(df, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{n} long" for n in names))
+    return texts(df, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{n} long" for n in names) + ", digest long" * (words > 1))
 
 
 class Golay:
@@ -121,8 +141,9 @@ def golay() -> Golay:
     return kept_by_worker("golay", Golay)
 
 
-def keys_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and key of each fingerprint's keys; the six kinds of key are told apart by their lowest digit."""
+def keys_of(fp: np.ndarray, pairs_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Row and key of each fingerprint's keys; the six kinds of key are told apart by their lowest digit. Those of a
+    segment without errors (pairs_only leaves them out) add little beyond BITS bits."""
     g = golay()
     seg = [(fp >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
     rows, keys = [], []
@@ -136,7 +157,7 @@ def keys_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.repeat(first[ra], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         rows.append(np.repeat(ra, times))
         keys.append((np.repeat(ca, times) << 12 | cb[at]) * 6 + k)
-    for k, (a, b) in enumerate(((0, 1), (1, 2), (2, 0))):
+    for k, (a, b) in enumerate(() if pairs_only else ((0, 1), (1, 2), (2, 0))):
         r, c = g.around(seg[b], g.nearer)
         rows.append(r)
         keys.append((seg[a][r] << 12 | c) * 6 + 3 + k)
@@ -176,16 +197,20 @@ def _run_links(fp: np.ndarray, kind: int, bits: int = BITS) -> Iterator[tuple[np
 
 def links(distinct: DataFrame, names: list[str], partitions: int, bits: int = BITS) -> DataFrame:
     """a_, b_ and the names: fingerprints of which one leads to the other by steps of `bits` bits or fewer over all
-    words. Keys are of the first word: they miss no pair within BITS bits of it, and of those further apart many
-    share one."""
+    words. Up to BITS bits, keys are of the first word and miss no pair; beyond, every word has keys, and nearly all
+    pairs of similar texts share one."""
+    every = len(names) > 1 and bits > BITS
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.stack([c.to_numpy() for c in b.columns], axis=1)
             for at in range(0, len(fp), 2000):
                 part = fp[at : at + 2000]
-                row, key = keys_of(part[:, 0].copy().view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(part[row, i]) for i in range(len(names)))], ["key", *names])
+                for word in range(len(names) if every else 1):
+                    row, key = keys_of(part[:, word].copy().view(np.uint64), every)
+                    if every:
+                        key = key * len(names) + word
+                    yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(part[row, i]) for i in range(len(names)))], ["key", *names])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, held_fp = np.zeros(0, np.int64), np.zeros((0, len(names)), np.int64)
@@ -245,20 +270,88 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLES, bits: int = BITS, words: int = 1) -> DataFrame:
+def alike(sets: list[np.ndarray], similar: float) -> np.ndarray:
+    """The first member of each set's group: sets whose Jaccard similarity is `similar` or more are linked. Intersections
+    are counted along the shingles' postings, and a set that was reached is not searched for again."""
+    m, size = len(sets), np.array([len(x) for x in sets])
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    by_token = np.repeat(np.arange(m), size)[np.argsort(token, kind="stable")]
+    edge, first = np.r_[0, np.cumsum(np.bincount(token))], np.r_[0, np.cumsum(size)]
+    group, left = np.full(m, -1), m
+    for root in range(m):
+        if group[root] >= 0:
+            continue
+        group[root], reached, left = root, [root], left - 1
+        while reached and left:
+            at = reached.pop()
+            lists = [by_token[edge[t] : edge[t + 1]] for t in token[first[at] : first[at + 1]].tolist()]
+            if lists:
+                both = np.bincount(np.concatenate(lists), minlength=m)
+                found = np.flatnonzero((group < 0) & (both >= similar * (size + size[at] - both) - 1e-9))
+                group[found] = root
+                left -= len(found)
+                reached += found.tolist()
+    return group
+
+
+def verified(df: DataFrame, wanted: DataFrame, partitions: int, id_col: str, text_col: str, size: int, similar: float) -> DataFrame:
+    """digest and group (the digest of one member) of candidates: root, digest, least (an id that has the text)."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([digest(t) for t in b.column(1).to_pylist()], pa.int64())], ["doc_id", "text", "digest"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, names, sets = None, [], []
+
+        def close() -> tuple[list, list]:
+            group = alike(sets, similar).tolist() if names else []
+            return names, [names[g] for g in group]
+
+        for b in batches:
+            found, to = [], []
+            for root, name, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if root != last:
+                    for into, new in zip((found, to), close(), strict=True):
+                        into += new
+                    last, names, sets = root, [], []
+                if not names or names[-1] != name:  # rows that repeat an id come once
+                    names.append(name)
+                    sets.append(np.unique(hashes(text, size)))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(to, pa.int64())], ["digest", "group"])
+        found, to = close()
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(to, pa.int64())], ["digest", "group"])
+
+    wanted = durable(wanted)
+    rows = texts(df, F.col(id_col), F.col(text_col)).mapInArrow(mark, f"doc_id {kind}, text string, digest long")
+    chosen = (F.broadcast(wanted) if wanted.count() <= SENT else wanted).withColumnRenamed("digest", "wanted")
+    rows = rows.join(chosen, (F.col("digest") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("root", "digest", "text")
+    return rows.repartition(partitions, "root").sortWithinPartitions("root", "digest").mapInArrow(compare, "digest long, group long")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLES, bits: int = BITS, words: int = 1, similar: float = 0.8) -> DataFrame:
     """doc_id, fingerprint (hexadecimal, its first word), component_id (the least id of those reachable).
 
     With one word and bits up to BITS the links are complete. More words make the distance a sharper measure of the
-    texts' similarity, and more bits then reach further than the keys promise: use them to find copies, not to count.
+    texts' similarity; what they and more bits find are candidates, and texts are linked that share `similar` of their
+    shingles.
     """
     names = [f"fp{i}" for i in range(words)]
     # one word is its own node; several are known by a hash of them
     node = lambda x="": F.col(f"{x}fp0") if words == 1 else F.xxhash64(*[F.col(x + n) for n in names])
     marked = durable(fingerprints(df, id_col, text_col, size, words).withColumnRenamed(id_col, "doc_id").withColumn("node", node()))
     wide = max(scan_width(marked), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    distinct = durable(marked.groupBy("node", *names).agg(F.min("doc_id").alias("least")))
-    roots = components(links(distinct, names, wide, bits).select(node("a_").alias("a"), node("b_").alias("b")))
-    joined = distinct.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    text = "node" if words == 1 else "digest"
+    distinct = durable(marked.groupBy(*{"node": 0, text: 0}, *names).agg(F.min("doc_id").alias("least")))
+    found = links(distinct if words == 1 else distinct.select(*names).distinct(), names, wide, bits)
+    roots = components(found.select(node("a_").alias("a"), node("b_").alias("b")))
+    joined = distinct.select(*{"node": 0, text: 0}, "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if words > 1:
+        joined = durable(joined)
+        several = joined.groupBy("root").agg(F.count("*").alias("texts")).where("texts > 1").select("root")
+        groups = verified(df, joined.join(several, "root").select("root", "digest", "least"), wide, id_col, text_col, size, similar)
+        joined = durable(joined.join(groups, "digest", "left").select("digest", "least", F.coalesce("group", "digest").alias("root")))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = joined.join(least, "root").select("node", "component_id")
-    return marked.join(known, "node").select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
+    known = joined.join(least, "root").select(text, "component_id")
+    return marked.join(known, text).select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")

@@ -142,3 +142,44 @@ def test_long_runs_of_wide_fingerprints_lose_no_pair(monkeypatch):
     fps = np.array([[base, 0], [other, (1 << 16) - 1], *([rng.getrandbits(64), rng.getrandbits(64)] for _ in range(6))], np.uint64)
     found = {frozenset((int(x[0]), int(y[0]))) for a, b in golay_simhash._run_links(fps, 0, 22) for x, y in zip(a, b, strict=True)}
     assert found == {frozenset((base, other))}
+
+
+def test_lone_pairs_are_joined_by_their_shingles(spark):
+    """Pairs of 0.82 are joined, pairs of 0.74 are not, whatever bits their fingerprints differ in."""
+    rng = random.Random(13)
+    vocab = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(5000)]
+    docs = []
+    for k in range(100):
+        seq = rng.choices(vocab, k=404)
+        copy = list(seq)
+        for i in range(10, 400, 390 // (8 if k < 50 else 12))[: 8 if k < 50 else 12]:  # five shingles each
+            copy[i] = "edited"
+        docs += [(2 * k, " ".join(seq)), (2 * k + 1, " ".join(copy))]
+    docs += [(300, "a b c"), (301, "A  b c"), (302, "a b d"), (303, None), (304, ""), (None, docs[0][1]), (0, docs[0][1])]
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), size=5, bits=44, words=3).collect()
+    assert len(got) == len(docs)
+    by = {r.doc_id: r.component_id for r in got}
+    assert sum(by[2 * k + 1] == 2 * k for k in range(50)) >= 48
+    assert all(by[2 * k + 1] == 2 * k + 1 for k in range(50, 100))
+    assert (by[300], by[301], by[302], by[303], by[304], by[None]) == (300, 300, 302, 303, 303, 0)
+
+
+def test_alike_against_all_pairs():
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(12):
+        base = rng.integers(0, 400, 60)
+        for _ in range(6):
+            base = base.copy()
+            base[rng.integers(0, 60, 4)] = rng.integers(0, 400, 4)
+            sets.append(np.unique(base).astype(np.uint64))
+    sets.append(np.zeros(0, np.uint64))
+    root = list(range(len(sets)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(np.intersect1d(a, b))
+            if 5 * both >= 4 * (len(a) + len(b) - both) and both:
+                root[find(i)] = find(j)
+    got = golay_simhash.alike(sets, 0.8).tolist()
+    assert all((got[i] == got[j]) == (find(i) == find(j)) for i in range(len(sets)) for j in range(i))
