@@ -1,15 +1,17 @@
 """Lexical retrieval packing: windows filled with a seed document and its BM25 neighbours.
 
-Documents are tokenised once, where they are read. Consecutive documents of a task make up index shards of about
+Documents are tokenised once, where they are read, and their token ids are dealt to tasks by content: in the order of
+a sketch of the least places that a document's ids have in some fixed shufflings of the vocabulary, so that alike
+documents lie together wherever the table has them. Consecutive documents of a task make up index shards of about
 `shard_tokens` tokens; each shard has its own inverted index over token ids (postings with BM25 weights), so an index
-is bounded however large the table is, and no text or token is shuffled. In a shard the first unused document, or the
-rest of one that was cut, is the seed; its most telling terms retrieve the unused neighbours by score, and those that
-fit go into the seed's window in that order. The room left is filled with the beginning of the best document that did
-not fit, whose rest seeds the next window. So all windows of a shard are full but the last, whose documents are laid
-into windows of powers of two, which need no padding.
+is bounded however large the table is. In a shard the first unused document, or the rest of one that was cut, is the
+seed; all its terms retrieve the unused neighbours by score, and those that fit go into the seed's window in that
+order, down to the last of them. The room left is filled with the beginning of the best document that did not fit,
+whose rest seeds the next window; only without an unused neighbour is the next document taken. So all windows of a
+shard are full but the last, whose documents are laid into windows of powers of two, which need no padding.
 
 A task's result depends on its rows alone: a lost executor's task gives the same pieces again. Sequence ids have the
-task's partition in the high bits.
+task's partition in the high bits. Many copies of one document are dealt to several tasks.
 
 Cases: null texts are empty and consist of the end id; repeated rows are packed each for itself; an empty table gives
 an empty result; documents longer than a window take several; other columns are not carried.
@@ -26,14 +28,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import kept_by_worker, slices, texts
+from .common import durable, kept_by_worker, scan_width, slices, texts
 
 # Fixed values of BM25.
 K1, B = 1.2, 0.75
-#: Terms of a seed that query the index, and neighbours tried for a window.
-QUERY_TERMS, NEIGHBOURS = 48, 64
+#: Shufflings of a document's sketch.
+SKETCH, SEED = 8, 42
 #: What the tokenizer does not treat as white space though str.split() does, or may treat as a special token.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 #: Letters and ASCII marks behind them; letters below this one lower one by one.
@@ -102,6 +105,17 @@ def encoder(path: str) -> WordEncoder:
     return kept_by_worker(("word encoder", path), lambda: WordEncoder(path))
 
 
+class Sketch:
+    """Places of documents in an order by content: those that share most of their ids share their first least places."""
+
+    def __init__(self):
+        rng = np.random.default_rng(SEED)
+        self.place = np.stack([rng.permutation(1 << 16) for _ in range(SKETCH)], axis=1).astype(">u2")
+
+    def __call__(self, ids: np.ndarray) -> bytes:
+        return self.place[ids].min(axis=0).astype(">u2").tobytes() if len(ids) else b"\xff" * 2 * SKETCH
+
+
 class Index:
     """BM25 postings of a shard's documents."""
 
@@ -122,9 +136,7 @@ class Index:
     def neighbours(self, seed: int) -> np.ndarray:
         """Documents that share terms with the seed, by falling score; ties to the earlier."""
         lo, hi = self.first[seed], self.first[seed + 1]
-        telling = self.telling[lo:hi]
-        best = np.argsort(-telling, kind="stable")[:QUERY_TERMS]
-        lists = [slice(self.at[t], self.at[t + 1]) for t in self.term[lo:hi][best[telling[best] > 0]].tolist()]
+        lists = [slice(self.at[t], self.at[t + 1]) for t in self.term[lo:hi][self.telling[lo:hi] > 0].tolist()]
         if not lists:
             return np.zeros(0, np.int64)
         score = np.bincount(np.concatenate([self.doc[x] for x in lists]), np.concatenate([self.weight[x] for x in lists]), self.n)
@@ -135,6 +147,7 @@ class Index:
 def pack_shard(docs: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces (document, start, length) that hold every token of the shard once."""
     index, size = Index(docs), [len(d) for d in docs]
+    sizes = np.array(size)
     unused = np.ones(len(docs), bool)
     rest: tuple[int, int] | None = None  # a cut document and where its rest starts
     out, nxt = [], 0
@@ -151,17 +164,15 @@ def pack_shard(docs: list[np.ndarray], window: int) -> list[list[tuple[int, int,
         rest = (seed, start + take) if start + take < size[seed] else None
         if room:
             near = index.neighbours(seed)
-            near = near[unused[near]][:NEIGHBOURS].tolist()
-            left = None  # the best neighbour that didn't fit
-            for d in near:
-                if size[d] <= room:
-                    pieces.append((d, 0, size[d]))
-                    unused[d] = False
-                    room -= size[d]
-                    if not room:
-                        break
-                elif left is None:
-                    left = d
+            near, at = near[unused[near]], 0
+            while room and len(fit := np.flatnonzero(sizes[near[at:]] <= room)):
+                at += int(fit[0]) + 1
+                d = int(near[at - 1])
+                pieces.append((d, 0, size[d]))
+                unused[d] = False
+                room -= size[d]
+            # the best neighbour that didn't fit
+            left = next(iter(near[unused[near]][:1].tolist()), None)
             while room:
                 if left is None:
                     while nxt < len(docs) and not unused[nxt]:
@@ -206,8 +217,16 @@ def packed(df: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, s
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
 
+    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, sketch = encoder(tokenizer), Sketch()
+        for b in batches:
+            values = [t or "" for t in b.column(1).to_pylist()]
+            for lo, hi in slices(values, len, BATCH_CHARS):
+                found = encode(values[lo:hi])
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array([x.tobytes() for x in found], pa.binary()), pa.array([sketch(x) for x in found], pa.binary())], ["doc_id", "tokens", "place"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer), np.array([end_id], "<u2")
+        end, id_kind = np.array([end_id], "<u2"), None
         names, docs, tokens, sequence = [], [], 0, TaskContext.get().partitionId() << 32
 
         def flush() -> pa.RecordBatch:
@@ -226,16 +245,17 @@ def packed(df: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, s
 
         for b in batches:
             id_kind = b.column(0).type
-            ids, values = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for lo, hi in slices(values, len, BATCH_CHARS):
-                for name, found in zip(ids[lo:hi], encode(values[lo:hi]), strict=True):
-                    names.append(name)
-                    docs.append(np.concatenate([found, end]))
-                    tokens += len(docs[-1])
-                    if tokens >= shard_tokens:
-                        yield flush()
-                        names, docs, tokens = [], [], 0
+            for name, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                names.append(name)
+                docs.append(np.concatenate([np.frombuffer(found, "<u2"), end]))
+                tokens += len(docs[-1])
+                if tokens >= shard_tokens:
+                    yield flush()
+                    names, docs, tokens = [], [], 0
         if docs:
             yield flush()
 
-    return texts(df, id_col, text_col).mapInArrow(run, schema)
+    # read twice, to find the ranges and to deal to them
+    rows = durable(texts(df, id_col, text_col).mapInArrow(tokenise, f"doc_id {kind}, tokens binary, place binary"))
+    rows = rows.repartitionByRange(scan_width(df), "place", F.xxhash64("doc_id")).sortWithinPartitions("place", "doc_id", "tokens")
+    return rows.select("doc_id", "tokens").mapInArrow(run, schema)

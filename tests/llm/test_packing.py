@@ -75,3 +75,30 @@ def test_shard_of_long_documents():
         out = pack_shard(docs, window)
         assert sum(n for s in out for _, _, n in s) == 1193
         assert all(sum(n for _, _, n in s) == window for s in out[:-11])
+
+
+def test_windows_of_short_documents_are_filled_by_retrieval():
+    """100 documents of a topic among others: more than 64 fit, and none is taken in the table's order."""
+    docs = [np.array([1000 + i % 2, 2000 + i, 2500 + i], "<u2") for i in range(200)]
+    out = pack_shard(docs, 256)
+    assert [{d % 2 for d, _, _ in x[:84]} for x in out[:1]] == [{0}]
+
+
+def test_all_terms_of_a_seed_score():
+    seed = np.arange(100, 200, dtype="<u2")
+    docs = [seed, *(np.array([t], "<u2") for t in seed), *(np.array([100 + k, 300 + k], "<u2") for k in range(100))]
+    assert set(Index(docs).neighbours(0).tolist()) == set(range(len(docs)))
+
+
+def test_alike_documents_meet_wherever_the_table_has_them(spark):
+    rng = random.Random(8)
+    words = "time year people way day man thing woman life child world school state family student group country problem hand part place case week company system program question work number night point home water room mother area money story fact month lot right study book eye job word business issue side kind head house service friend father power hour game line end member law car city community name".split()
+    topics = [rng.sample(words, 12) for _ in range(16)]
+    docs = [(100 * half + k, " ".join(rng.sample(t, 12) * 2)) for half in range(2) for k, t in enumerate(topics)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartitionByRange(8, "doc_id")
+    rows = packed(df, PATH, window=64, shard_tokens=100, with_ids=True).collect()
+    check(rows, docs, 64)
+    at = defaultdict(set)
+    for r in rows:
+        at[r.doc_id].add(r.sequence_id >> 32)
+    assert sum(bool(at[k] & at[100 + k]) for k in range(16)) >= 12
