@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch for whole-text work: texts may be long, so batches stay small.
-ROWS_PER_BATCH = "1000"
+#: Bytes of an Arrow batch, unless the session has a lower bound: texts may be long.
+BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,22 +20,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(df: DataFrame, *cols: str) -> DataFrame:
-    """The named columns only, with Arrow batches sized for whole texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
+    """The named columns only. Arrow batches are bounded by bytes, not rows: the session's bound is lowered to ours if
+    it is above it (Spark reads it when a plan runs, so it can't be set for one operator alone)."""
+    spark = df.sparkSession
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BYTES)) <= BATCH_BYTES:
+        spark.conf.set(BYTES, str(BATCH_BYTES))
     return df.select(*cols)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder (spark.checkpoint.dir), so that lost executors lose nothing.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where the session names none, a
+    temporary one will do in local mode, as in tests; on a cluster it would be another folder on each machine."""
+    sc = spark.sparkContext
+    if named := sc.getConf().get("spark.checkpoint.dir"):
+        return named
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="keyloom-")
 
-    A folder of our own is used only where the session names none, as in tests.
-    """
+
+def durable(df: DataFrame) -> DataFrame:
+    """Checkpoint into the shared folder, so that lost executors lose nothing."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="keyloom-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def hash_bound(n: int, least: int, wanted: int) -> int:
+    """The 64-bit hash up to which about `wanted` of n rows lie. It is never below the least hash, so that whatever
+    has rows has a sample, and whole numbers keep it exact at any n."""
+    return max(least, min((1 << 63) - 1, (wanted << 64) // max(n, 1) - (1 << 63)))
+
+
 def scan_width(df: DataFrame) -> int:
     """Partitions that a scan of df takes: the natural spread of its rows."""
     return max(1, df.rdd.getNumPartitions())

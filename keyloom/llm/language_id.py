@@ -5,13 +5,15 @@ its letters' vectors, permuted by their distance from its end; a text's vector b
 weighed by the root of its count; a language's prototype bundles the unit vectors of its training texts. A text has
 the language whose prototype is nearest by cosine. Words are delimited by one blank; case and all but letters drop out.
 
-The prototypes are fitted on at most about `fit_rows` texts of each language, picked by a hash of the id, so that what
-the driver gathers (partial bundles of few tasks) and sends out (one vector a language) stays the same at every size.
-Scoring is one narrow pass over whole texts.
+The prototypes are fitted on at most about `fit_rows` texts of each language, picked by a 64-bit hash of the id (a
+language that has rows always has some), so that what the driver gathers (partial bundles of few tasks) and sends out
+(one vector a language) stays the same at every size. Scoring is one narrow pass over whole texts.
 
 Cases: null texts and texts without letters are `und` with score 0, as are all texts when nothing can be learned; rows
-with a null language, null text or null id are not learned from; null ids are held out; repeated rows each keep a row;
-other columns are not carried; an empty table gives an empty result.
+with a null language, null text or null id are not learned from; rows that repeat an id are learned from once for each
+language that they have, by their least text; null ids are held out; repeated rows each keep a row; of languages with
+the same cosine the first by name is taken; a long text's three-grams are bundled a bounded number at a time; other
+columns, whatever their names, are not carried; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_by_worker, slices, texts
+from .common import hash_bound, kept_by_worker, slices, texts
 
 DIM = 512
 SEED = 20
 GRAM = 3
 UNKNOWN = "und"
-#: Three-grams whose vectors a Python worker keeps.
-KEPT = 50_000
+#: Three-grams whose vectors a Python worker keeps, and those that are bundled at once.
+KEPT, AT_ONCE = 50_000, 8_000
 
 
 class Space:
@@ -42,7 +44,7 @@ class Space:
         self.letters = np.array([0x20], np.int64)
         self.vectors: dict[int, np.ndarray] = {}
         self.keys, self.grams = np.zeros(0, np.int64), np.zeros((0, DIM), np.float32)
-        self.room = np.zeros((0, DIM), np.float32)
+        self.room = np.zeros((AT_ONCE, DIM), np.float32)
 
     def letter_vector(self, c: int) -> np.ndarray:
         if c not in self.vectors:
@@ -86,13 +88,12 @@ class Space:
         out = np.zeros((len(texts), DIM), np.float32)
         for row, text in zip(out, texts, strict=True):
             keys, count = self.counts(text)
-            if not len(keys):
-                continue
-            self._learn(keys)
-            if len(keys) > len(self.room):  # one buffer serves all texts
-                self.room = np.zeros((2 * len(keys), DIM), np.float32)
-            grams = np.take(self.grams, np.searchsorted(self.keys, keys), axis=0, out=self.room[: len(keys)], mode="clip")
-            np.dot(np.sqrt(count).astype(np.float32), grams, out=row)
+            weight = np.sqrt(count).astype(np.float32)
+            for at in range(0, len(keys), AT_ONCE):
+                part = keys[at : at + AT_ONCE]
+                self._learn(part)
+                grams = np.take(self.grams, np.searchsorted(self.keys, part), axis=0, out=self.room[: len(part)], mode="clip")
+                row += weight[at : at + AT_ONCE] @ grams
             row /= np.linalg.norm(row) or 1
         return out
 
@@ -109,13 +110,11 @@ def held_out(id_col: str, parts: int = 4, part: int = 2) -> Column:
 def fit(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = 2000) -> dict[str, np.ndarray]:
     """Prototype of each language, from about fit_rows of the rows where train holds."""
     rows = df.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    counts = dict(map(tuple, rows.groupBy(lang_col).count().collect()))
-    if not counts:
-        return {}
-    place = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000))
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col(lang_col) == lang, F.lit(int(min(1.0, fit_rows / n) * 1_000_000))).otherwise(share)
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).withColumn("place", F.xxhash64("id"))
+    bound = F.lit(None).cast("bigint")
+    for lang, n, least in rows.groupBy("lang").agg(F.count("*"), F.min("place")).collect():
+        bound = F.when(F.col("lang") == lang, F.lit(hash_bound(n, least, fit_rows))).otherwise(bound)
+    picked = rows.where(F.col("place") <= bound).groupBy("lang", "id").agg(F.min("text").alias("text"))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -126,7 +125,7 @@ def fit(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "t
                 total[lang] = total.get(lang, 0) + vectors[langs == lang].sum(axis=0, dtype=np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], ["lang", "v"])
 
-    parts = texts(rows.where(place < share), F.col(lang_col), F.col(text_col)).repartition(24).mapInArrow(add, "lang string, v array<double>").collect()
+    parts = texts(picked, "lang", "text").repartition(24).mapInArrow(add, "lang string, v array<double>").collect()
     model: dict[str, np.ndarray] = {}
     for lang, v in sorted(map(tuple, parts)):
         model[lang] = model.get(lang, 0) + np.array(v)

@@ -1,28 +1,30 @@
-"""Toxicity from two class-conditional Kneser-Ney models of letters.
-
-Words are read letter by letter from a boundary to a boundary. Each class, toxic and ordinary, has interpolated
-Kneser-Ney estimates of the orders SHARED + 1 to ORDER from its own training texts: letter counts at the highest
-order, numbers of distinct left neighbours below it. Both back off to one distribution of order SHARED, whose counts
-are gathered from all documents, so what neither class has seen weighs alike in both. A text's words have log-likelihood
-ratios; what they exceed the text's own median word by (which takes out what else differs between the classes, like
-their mix of languages), beyond SLACK, is added up and divided by the text's length in letters. The score is a logistic
-of that, shaped on training texts that the models were not fitted on.
-
-As a letter's ratio is stored for each n-gram that either class has seen, and a context's ratio of backoff weights
-for each context, scoring looks an n-gram up, and goes one order down where it is missing. Words are scored once and
-memoised.
-
-What depends on labels is fitted on at most about `fit_rows` toxic and ORDINARY times as many ordinary rows, picked by a hash of the id. The
-shared counts cover every document; their table is bounded by the alphabet (62 letters, the rest count as one).
+"""Toxicity from two class-conditional Kneser-Ney models of words.
+
+A class's model is interpolated Kneser-Ney of single words: a word counts by the number of different words that stand
+before it in the class's training texts, less DISCOUNT, and what the discounts free goes to one shared distribution,
+whose counts are those of the word in all documents. What neither class has seen often enough weighs alike in both, so
+a rare expression's ratio is that of the classes' backoff weights. A toxic text is mostly ordinary words, so the
+toxic class draws a word from the ordinary model but for a share SHARE of them, for which it draws from its own. A
+text's score is the difference of its two log-likelihoods, each divided by its length in letters, and put through a
+logistic that is shaped on training texts that the models were not fitted on. (Without that share the mix of languages
+in the two classes decides: the README has figures, also for word pairs, which bring nothing.)
+
+What depends on labels is fitted on at most about `fit_rows` toxic and ORDINARY times as many ordinary documents,
+picked by a 64-bit hash of the id (a class that has rows always has some). The shared counts cover every word of every
+document, stay distributed, and grow with the input; only the counts of words that the classes have seen more than
+DISCOUNT times are fetched, so what is sent to the tasks is bounded by the fitted texts.
 
 Cases: null and empty texts, and texts without letters, have ratio 0 and so the score that the shape gives it; rows
 with a null label, text or id are not learned from; null ids are held out; without labelled rows of both classes all
-scores are 0; several labels of a document count each; repeated rows each keep a row; other columns are not carried;
-an empty table gives an empty result.
+scores are 0; a document with both labels counts in both classes; rows that repeat an id are learned from once, by
+their least text; repeated rows each keep a row; very long words are scored but not remembered; other columns, whatever
+their names, are not carried; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -31,181 +33,50 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, kept_by_worker, slices, texts
+from .common import durable, hash_bound, kept_by_worker, texts
 from .language_id import held_out
 
-ORDER, SHARED = 5, 2
-LETTERS, BITS = 62, 6
-DISCOUNT = 0.75
-#: Nats of a word's excess that don't count, and words that pull the median of short texts to zero.
-SLACK, PULL = 3.0, 10
-#: Ordinary rows fitted for each toxic one, and one in SHAPE fitted rows shapes the logistic.
+WORD = re.compile(r"[^\W\d_]+")
+DISCOUNT = 1.5
+#: Of a toxic text's words, the share that its class's own model draws.
+SHARE = 0.001
+#: Ordinary documents fitted for each toxic one, and one in SHAPE fitted documents shapes the logistic.
 ORDINARY, SHAPE = 3, 4
-#: Added to a statistic before its logarithm is taken.
-FLOOR = 0.01
-#: Words that a Python worker remembers, and characters of texts that are scored together.
-MEMO, BATCH_CHARS = 700_000, 2_000_000
+#: Words that a Python worker remembers or counts at once, and letters from which a word isn't remembered.
+MEMO, LONG = 500_000, 64
+
+
+def words_of(text: str | None) -> list[str]:
+    return WORD.findall((text or "").lower())
+
 
+class Weights(dict):
+    """Log-ratio and letters of whatever stands between blanks, remembered; the two come as one complex number, so
+    that a text's sums are one call."""
 
-class Alphabet:
-    """Numbers of letters: 0 is the boundary, 1 to 62 the commonest letters, 63 any other letter."""
+    def __init__(self, table: dict[str, float], unseen: float):
+        self.table, self.unseen = table, unseen
 
-    def __init__(self, common: str):
-        self.common = common
-        self.number = np.array([63 * chr(c).isalpha() for c in range(0x110000)], np.uint8)
-        self.number[[ord(c) for c in common]] = np.arange(1, len(common) + 1)
-
-    def __reduce__(self):
-        return Alphabet, (self.common,)
-
-    def numbers(self, text: str) -> np.ndarray:
-        return self.number[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
-
-
-def grams(numbers: np.ndarray, order: int) -> np.ndarray:
-    """Code of the n-gram that ends at each place but the first of a sequence of words with boundaries between them:
-    what stands before a word's own boundary counts as boundary too."""
-    start = np.maximum.accumulate(np.where(numbers == 0, np.arange(len(numbers)), 0))
-    # the boundary that ends a word belongs to it
-    start[1:] = np.where(numbers[1:] == 0, start[:-1], start[1:])
-    code = np.zeros(len(numbers), np.int64)
-    for back in range(order - 1, -1, -1):
-        at = np.arange(len(numbers)) - back
-        code = code << BITS | np.where(at > start, numbers[np.maximum(at, 0)], 0)
-    return code
-
-
-def inside(numbers: np.ndarray) -> np.ndarray:
-    """Which places, but the first, are a letter or the boundary behind one."""
-    return (numbers[1:] != 0) | (numbers[:-1] != 0)
-
-
-class Counts:
-    """Sums by code, as sorted arrays."""
-
-    def __init__(self, codes: np.ndarray, n: np.ndarray | None = None):
-        self.codes, back = np.unique(codes, return_inverse=True)
-        self.n = np.bincount(back, n, len(self.codes)) if n is not None else np.bincount(back, minlength=len(self.codes)).astype(float)
-
-    def of(self, codes: np.ndarray) -> np.ndarray:
-        if not len(self.codes):
-            return np.zeros(len(codes))
-        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        return np.where(self.codes[at] == codes, self.n[at], 0.0)
-
-
-def low(codes: np.ndarray, order: int) -> np.ndarray:
-    """The n-grams of this order that the codes end in."""
-    return codes & ((1 << BITS * order) - 1)
-
-
-class Level:
-    """Discounted counts of one order: n-grams, and total and distinct continuations of their contexts."""
-
-    def __init__(self, codes: np.ndarray, n: np.ndarray):
-        self.gram = Counts(codes, n)
-        context = self.gram.codes >> BITS
-        self.total, self.kinds = Counts(context, self.gram.n), Counts(context)
-
-    def estimate(self, codes: np.ndarray, below: np.ndarray) -> np.ndarray:
-        total = self.total.of(codes >> BITS)
-        seen = np.maximum(self.gram.of(codes) - DISCOUNT, 0) + DISCOUNT * self.kinds.of(codes >> BITS) * below
-        return np.where(total > 0, seen / np.where(total > 0, total, 1), below)
-
-    def backoff(self, contexts: np.ndarray) -> np.ndarray:
-        total = self.total.of(contexts)
-        return np.where(total > 0, DISCOUNT * self.kinds.of(contexts) / np.where(total > 0, total, 1), 1.0)
-
-
-class Shared:
-    """Kneser-Ney estimates of order SHARED from n-grams one order longer, over all documents."""
-
-    def __init__(self, longer: np.ndarray):
-        self.levels, codes = [], np.unique(longer)
-        for order in range(SHARED, 0, -1):
-            codes, n = np.unique(low(codes, order), return_counts=True)
-            self.levels.insert(0, Level(codes, n.astype(float)))
-
-    def estimate(self, codes: np.ndarray) -> np.ndarray:
-        p = np.full(len(codes), 1 / (1 << BITS))
-        for order, level in enumerate(self.levels, 1):
-            p = level.estimate(low(codes, order), p)
-        return p
-
-
-class Ratios:
-    """Log-ratios of the two classes' models, ready for lookup."""
-
-    def __init__(self, alphabet: Alphabet, by_class: list[tuple[np.ndarray, np.ndarray]], shared: Shared):
-        self.alphabet = alphabet
-        levels: list[dict[int, Level]] = []
-        for codes, n in by_class:
-            own = {ORDER: Level(codes, n.astype(float))}
-            codes = own[ORDER].gram.codes
-            for order in range(ORDER - 1, SHARED, -1):
-                codes, n = np.unique(low(codes, order), return_counts=True)
-                own[order] = Level(codes, n.astype(float))
-            levels.append(own)
-        self.gram: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.context: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for order in range(SHARED + 1, ORDER + 1):
-            codes = np.union1d(*(x[order].gram.codes for x in levels))
-            p = []
-            for own in levels:
-                q = shared.estimate(low(codes, SHARED))
-                for k in range(SHARED + 1, order + 1):
-                    q = own[k].estimate(low(codes, k), q)
-                p.append(q)
-            self.gram[order] = codes, np.log(p[0] / p[1]).astype(np.float32)
-            contexts = np.unique(codes >> BITS)
-            weights = [own[order].backoff(contexts) for own in levels]
-            self.context[order] = contexts, np.log(weights[0] / weights[1]).astype(np.float32)
-
-    @staticmethod
-    def _look(table: tuple[np.ndarray, np.ndarray], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, values = table
-        if not len(keys):
-            return np.zeros(len(codes), bool), np.zeros(len(codes), np.float32)
-        at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
-        found = keys[at] == codes
-        return found, np.where(found, values[at], 0)
-
-    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Log-ratio and letters of each word."""
-        numbers = self.alphabet.numbers(" " + " ".join(words) + " ")
-        codes = grams(numbers, ORDER)[1:]
-        ratio, left = np.zeros(len(codes)), np.flatnonzero(inside(numbers))
-        for order in range(ORDER, SHARED, -1):
-            part = low(codes[left], order)
-            found, value = self._look(self.gram[order], part)
-            ratio[left[found]] += value[found]
-            left = left[~found]
-            ratio[left] += self._look(self.context[order], part[~found] >> BITS)[1]
-        ends = np.cumsum([0, *[len(w) + 1 for w in words]])
-        return np.add.reduceat(ratio, ends[:-1]) if words else ratio, np.add.reduceat((numbers[1:] != 0).astype(int), ends[:-1]) if words else ratio
+    def __missing__(self, key: str) -> complex:
+        found = WORD.findall(key)
+        value = complex(sum(self.table.get(w, self.unseen) for w in found), sum(map(len, found)))
+        if len(key) < LONG:
+            if len(self) >= MEMO:
+                self.clear()
+            self[key] = value
+        return value
 
 
 class Scorer:
-    """The statistic of texts, memoised by word."""
+    """Difference of the length-normalised log-likelihoods of texts."""
 
-    def __init__(self, ratios: Ratios):
-        self.ratios, self.memo = ratios, {}
+    def __init__(self, table: dict[str, float], unseen: float):
+        self.weights = Weights(table, unseen)
 
     def __call__(self, values: list[str | None]) -> np.ndarray:
-        split = [(t or "").lower().split() for t in values]
-        words = set().union(*split) if split else set()
-        if len(self.memo) > MEMO:
-            self.memo = {w: self.memo[w] for w in words if w in self.memo}
-        new = list(words.difference(self.memo))
-        self.memo.update(zip(new, zip(*(x.tolist() for x in self.ratios.words(new)), strict=True), strict=True))
-        get, out = self.memo.__getitem__, np.zeros(len(values))
-        for i, ws in enumerate(split):
-            found = np.array(list(map(get, ws))).reshape(-1, 2)
-            found = found[found[:, 1] > 0]
-            if n := len(found):
-                excess = found[:, 0] - np.median(found[:, 0]) * n / (n + PULL)
-                out[i] = np.maximum(excess - SLACK, 0).sum() / found[:, 1].sum()
-        return out
+        get = self.weights.__getitem__
+        sums = np.array([sum(map(get, (t or "").lower().split()), 0j) for t in values], np.complex128)
+        return np.divide(sums.real, sums.imag, out=np.zeros(len(values)), where=sums.imag > 0)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:
@@ -230,105 +101,113 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, flo
 
 
 class Model:
-    """Scores of texts in a task: the ratios and the shape of the logistic."""
+    """Scores of texts in a task: the words' ratios and the shape of the logistic."""
 
-    def __init__(self, ratios: Ratios | None, slope: float = 0.0, offset: float = 0.0):
-        self.ratios, self.slope, self.offset = ratios, slope, offset
+    def __init__(self, table: dict[str, float] | None, unseen: float = 0.0, noise: float = 1.0, slope: float = 0.0, offset: float = 0.0):
+        self.table, self.unseen, self.noise, self.slope, self.offset = table, unseen, noise, slope, offset
 
     def scorer(self) -> Callable[[list], np.ndarray]:
-        if self.ratios is None:
+        if self.table is None:
             return lambda values: np.zeros(len(values))
         # the model that tasks of one broadcast share tells their memo from another's
-        _, statistic = kept_by_worker(("toxicity", id(self)), lambda: (self, Scorer(self.ratios)))
+        _, ratio = kept_by_worker(("toxicity", id(self)), lambda: (self, Scorer(self.table, self.unseen)))
+        return lambda values: 1 / (1 + np.exp(-np.clip(self.slope * scaled(ratio(values), self.noise) + self.offset, -30, 30)))
 
-        def score(values: list) -> np.ndarray:
-            return 1 / (1 + np.exp(-np.clip(self.slope * np.log(statistic(values) + FLOOR) + self.offset, -30, 30)))
 
-        return score
+def scaled(ratio: np.ndarray, noise: float) -> np.ndarray:
+    """Ratios on a scale on which ordinary texts lie near 0 and evidence counts by its order of size."""
+    return np.log1p(np.maximum(ratio, 0) / noise)
 
 
-def _parts(values: list[str | None]) -> Iterator[str]:
-    """Texts joined into stretches of bounded size, lower case."""
-    for lo, hi in slices(values, lambda t: len(t or ""), BATCH_CHARS):
-        yield " " + " ".join([t or "" for t in values[lo:hi]]).lower() + " "
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """word and n over all documents; the row of the null word has the number of all words."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
 
-def shared_grams(docs: DataFrame, alphabet: Alphabet, text_col: str) -> np.ndarray:
-    """All n-grams of SHARED + 1 letters that occur in any document."""
-    sent = docs.sparkSession.sparkContext.broadcast(alphabet)
-    size = 1 << BITS * (SHARED + 1)
+        def flush() -> pa.RecordBatch:
+            found: Counter = Counter()
+            for key, n in seen.items():
+                for w in WORD.findall(key):
+                    found[w] += n
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array([None, *found], pa.string()), pa.array([sum(found.values()), *found.values()], pa.int64())], ["word", "n"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
         for b in batches:
-            for text in _parts(b.column(0).to_pylist()):
-                n = sent.value.numbers(text).astype(np.int32)
-                before = np.where(n[1:-1] == 0, 0, n[:-2])
-                codes = before << 2 * BITS | n[1:-1] << BITS | n[2:]
-                total += np.bincount(codes[inside(n)[1:]], minlength=size)
-        held = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], ["code", "n"])
+            for text in b.column(0).to_pylist():
+                seen.update((text or "").lower().split())
+                if len(seen) > MEMO:
+                    yield flush()
+        yield flush()
 
-    return np.array([r.code for r in texts(docs, text_col).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()], np.int64)
+    return texts(docs, F.col(text_col)).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def class_counts(rows: DataFrame) -> DataFrame:
+    """word, all0, all1, fit0, fit1: how many words each word follows in each class (y), in all texts and in those that
+    don't shape."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: set = set()
+            for y, shaping, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                ws = words_of(text)
+                seen.update((y, shaping, v, w) for v, w in zip(["", *ws], ws, strict=False))
+            cols = list(zip(*seen, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.bool_(), pa.string(), pa.string()], strict=True)], ["y", "shaping", "before", "word"])
+
+    found = rows.select("y", "shaping", "text").mapInArrow(pairs, "y int, shaping boolean, before string, word string")
+    found = found.groupBy("word", "before", "y").agg(F.min("shaping").alias("shaping"))
+    return found.groupBy("word").agg(*[F.count(F.when((F.col("y") == y) & (~F.col("shaping") if part == "fit" else F.lit(True)), 1)).alias(f"{part}{y}") for part in ("all", "fit") for y in (0, 1)])
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 3000) -> Model:
-    """The model from labelled rows where train holds (a condition on the id) and from all documents' letters."""
+    """The model from labelled rows where train holds (a condition on the id) and from all documents' words."""
     sc = docs.sparkSession.sparkContext
-    known = labels.select(id_col, F.col(label_col).cast("int").alias("y")).where(F.col(id_col).isNotNull() & F.col("y").isin(0, 1) & train)
-    counts = dict(map(tuple, known.groupBy("y").count().collect()))
-    if len(counts) < 2:
+    known = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("y")).where(F.col(id_col).isNotNull() & F.col("y").isin(0, 1) & train)
+    known = known.select(F.col(id_col).alias("id"), "y", F.xxhash64(F.col(id_col).cast("string")).alias("place"))
+    sizes = {r[0]: r[1:] for r in known.groupBy("y").agg(F.count("*"), F.min("place")).collect()}
+    if len(sizes) < 2:
         return Model(None)
-    place = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000))
-    share = {y: int(min(1.0, fit_rows * (1 if y else ORDINARY) / n) * 1_000_000) for y, n in counts.items()}
-    picked = known.where(place < F.when(F.col("y") == 1, F.lit(share[1])).otherwise(F.lit(share[0])))
+    bounds = {y: hash_bound(n, least, fit_rows * (1 if y else ORDINARY)) for y, (n, least) in sizes.items()}
+    picked = known.where(F.col("place") <= F.when(F.col("y") == 1, F.lit(bounds[1])).otherwise(F.lit(bounds[0]))).select("id", "y").distinct()
     # at most about fit_rows * (1 + ORDINARY) ids, whatever the size of the tables
-    rows = texts(docs.where(F.col(text_col).isNotNull()), id_col, text_col).join(F.broadcast(picked), id_col)
-    shaping = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("shape")), F.lit(SHAPE)) == 0
-    rows = durable(rows.select("y", shaping.alias("shaping"), F.col(text_col).alias("text")).repartition(24))
-
-    def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for b in batches:
-            for text in _parts(b.column(0).to_pylist()):
-                seen.update(text)
-        seen = {c: n for c, n in seen.items() if c.isalpha()}
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["c", "n"])
-
-    common = rows.select("text").mapInArrow(letters, "c string, n long").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(LETTERS).collect()
-    if not common:
+    rows = texts(docs.where(F.col(text_col).isNotNull()), F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
+    shaping = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("shape")), F.lit(SHAPE)) == 0
+    rows = durable(rows.groupBy("id", "y").agg(F.min("text").alias("text")).select("y", shaping.alias("shaping"), "text").repartition(24))
+    counts = durable(class_counts(rows))
+    parts = [f"{part}{y}" for part in ("all", "fit") for y in (0, 1)]
+    sums = counts.agg(*[F.coalesce(F.sum(p), F.lit(0)).alias(p) for p in parts], *[F.coalesce(F.sum(F.least(F.col(p), F.lit(DISCOUNT))), F.lit(0.0)).alias(f"free_{p}") for p in parts]).first()
+    if not all(sums[p] for p in parts):
         return Model(None)
-    alphabet = Alphabet("".join(r.c for r in common))
-    sent = sc.broadcast(alphabet)
+    backoff = {p: sums[f"free_{p}"] / sums[p] for p in parts}
+    told = counts.where(" or ".join(f"{p} > {DISCOUNT}" for p in parts)).unionByName(counts.sparkSession.createDataFrame([(None, 0, 0, 0, 0)], counts.schema))
+    everywhere = word_counts(docs, text_col).withColumnRenamed("word", "w")
+    got = everywhere.join(F.broadcast(told), F.col("w").eqNullSafe(F.col("word"))).select("word", "n", *parts).toArrow()
+    word, n = got.column("word").to_pylist(), got.column("n").to_numpy()
+    shared = n / max(1, n[word.index(None)])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            part, values = np.array(b.column(0).to_pylist()), b.column(1).to_pylist()
-            for k in np.unique(part).tolist():
-                for text in _parts([v for v, p in zip(values, part, strict=True) if p == k]):
-                    n = sent.value.numbers(text)
-                    codes, times = np.unique(grams(n, ORDER)[1:][inside(n)], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), k, np.int32)), pa.array(codes), pa.array(times.astype(np.int64))], ["part", "code", "n"])
-
-    # parts: class, and 2 for the rows that shape
-    part = (F.col("y") + F.when(F.col("shaping"), 2).otherwise(0)).alias("part")
-    gathered = rows.select(part, "text").mapInArrow(count, "part int, code long, n long").groupBy("part", "code").agg(F.sum("n").alias("n")).toArrow()
-    part, code, n = (gathered.column(k).to_numpy() for k in range(3))
-    shared = Shared(shared_grams(docs, alphabet, text_col))
-    ratios, whole = (Ratios(alphabet, [(code[at], n[at]) for cls in (1, 0) for at in [np.isin(part, (cls, cls + extra))]], shared) for extra in (0, 2))
-    bare = sc.broadcast(ratios)
+    def table(part: str) -> tuple[dict[str, float], float]:
+        toxic, plain = (np.maximum(got.column(p).to_numpy() - DISCOUNT, 0) / sums[p] + backoff[p] * shared for p in (f"{part}1", f"{part}0"))
+        weight = np.log1p(SHARE * (toxic / plain - 1))
+        unseen = math.log1p(SHARE * (backoff[f"{part}1"] / backoff[f"{part}0"] - 1))
+        return {w: x for w, x in zip(word, weight.tolist(), strict=True) if w is not None}, unseen
+
+    bare = sc.broadcast(table("fit"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = Scorer(bare.value)
+        ratio = Scorer(*bare.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score(b.column(1).to_pylist()))], ["y", "s"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ratio(b.column(1).to_pylist()))], ["y", "s"])
 
     shape = rows.where("shaping").select("y", "text").mapInArrow(measure, "y int, s double").toArrow()
     bare.unpersist()
-    if not shape.num_rows:
+    y, ratio = shape.column(0).to_numpy(), shape.column(1).to_numpy()
+    if len(set(y.tolist())) < 2:
         return Model(None)
-    # the shape found, the models take all fitted rows
-    return Model(whole, *logistic(np.log(shape.column(1).to_numpy() + FLOOR), shape.column(0).to_numpy()))
+    noise = float(np.quantile(np.abs(ratio[y == 0]), 0.9)) or 1e-9
+    # the shape found, the models take all fitted documents
+    return Model(*table("all"), noise, *logistic(scaled(ratio, noise), y))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 3000, threshold: float = 0.7) -> DataFrame:
@@ -339,8 +218,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.value.scorer()
         for b in batches:
-            values = b.column(2).to_pylist()
-            found = np.concatenate([np.zeros(0), *(score(values[lo:hi]) for lo, hi in slices(values, lambda t: len(t or ""), BATCH_CHARS))])
+            found = score(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found), pa.array((found >= threshold).astype(np.int32))], [id_col, "held_out", "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
