@@ -1,6 +1,8 @@
 import html
+import random
 import re
 
+from keyloom.llm import html_wrapper as W
 from keyloom.llm.html_wrapper import aligned, expression, main_text, main_texts, parse, rules_of, wrapper_of
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>no";</script></head><body>
@@ -71,9 +73,9 @@ def marked_pages(n, tag="article"):
 
 
 def test_template_inside_articles(spark):
-    """Unchanging texts of an article go, whatever their class; five repeats on one page are not five pages."""
+    """Unchanging texts of an article go, whatever their class; five repeats on one page are not five pages; two pages are too few."""
     plain = [f"<body><div class=top>Always here</div><div class=c><h1>Plain {i}</h1><p>Words {i}.</p></div></body>" for i in range(6)]
-    few = [f"<body><article><p>Few {i}</p><div class=kicker>Our house line</div></article></body>" for i in range(3)]
+    few = [f"<body><article><p>Few {i}</p><div class=kicker>Our house line</div></article></body>" for i in range(2)]
     same = ["<body><article><h1>Same</h1><p>copy</p></article></body>"] * 6
     rows = [*(("h", p) for p in marked_pages(6)), *(("m", p) for p in marked_pages(6, "main")), *(("h", p) for p in plain), *(("p", p) for p in plain), ("p", "<main>One marked page</main>"), *(("f", p) for p in few), *(("s", p) for p in same)]
     df = spark.createDataFrame([(i, f"http://{h}.example/{i}", p) for i, (h, p) in enumerate(rows)], "page_id long, url string, html string").repartition(3)
@@ -85,4 +87,59 @@ def test_template_inside_articles(spark):
         assert got[at : at + 6] == [f"Plain {i}\n\nWords {i}." for i in range(6)]
     assert got[24] == "One marked page"
     assert got[25] == "Few 0\n\nOur house line"
-    assert got[28] == "Same\n\ncopy"
+    assert got[27] == "Same\n\ncopy"
+
+
+def test_deep_pages():
+    """Marks hold at any depth."""
+    for n in (300, 30_000):
+        assert main_text("<div>" * n + "<nav>menu</nav>in") == "in"
+        assert main_text("<div>" * n + "<nav>menu</nav><article><p>a<p>b</article>") == "a\n\nb"
+        assert expression(W.page_wrapper(parse("<div>" * n + "in")))
+
+
+def test_long_alternations_align_in_linear_time():
+    page = lambda n, k: "<article>" + "".join(f"<h2>a{i}</h2><p>b{i} {k}" for i in range(n)) + "</article>"
+    tags = random.Random(1).choices(["h2", "p", "pre", "ul", "ol", "dl", "div", "table"], k=40_000)
+    odd = lambda n, k: "<article>" + "".join(f"<{tags[i * k]}>{i}</{tags[i * k]}>" for i in range(n))
+    w = aligned(W.page_wrapper(parse(page(10_000, 1))), W.page_wrapper(parse(page(9_000, 2))))
+    assert expression(w) == "<article><article>(<h2>TEXT</h2> <p>TEXT</p>)+</article></article>"
+    w = aligned(W.page_wrapper(parse(odd(20_000, 1))), W.page_wrapper(parse(odd(20_000, 2))))
+    assert w[3] == 2 and len(expression(w)) > 20_000
+
+
+def test_matches():
+    rng = random.Random(5)
+    for _ in range(300):
+        x, y = (["abcdef"[rng.randrange(rng.choice([2, 6]))] for _ in range(rng.randrange(12))] for _ in range(2))
+        pairs, short = W._matches(x, y), None
+        W.CELLS, kept = -1, W.CELLS
+        try:
+            short = W._matches(x, y)
+        finally:
+            W.CELLS = kept
+        for found in (pairs, short):
+            assert all(x[i] == y[j] for i, j in found) and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(found, found[1:]))
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x)):
+            for j in range(len(y)):
+                best[i + 1][j + 1] = best[i][j] + 1 if x[i] == y[j] else max(best[i][j + 1], best[i + 1][j])
+        assert len(pairs) == best[-1][-1]
+
+
+def test_outcome_depends_on_no_order(spark):
+    """The same wrappers however pages are dealt, and another text without them; classes are unknown words."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(60):
+        more = "".join(f"<p class=q>{i} {k}</p>" + ("<em>wow</em>" if rng.random() < 0.4 else "") + ("<h2>part</h2>" if rng.random() < 0.3 else "") for k in range(rng.randrange(1, 5)))
+        rows.append((i, f"http://h{i % 2}.example/{i}", f"<article><div class=zork>Read on the go</div><h1>{i}</h1>{more}<div class=blip>Never changes</div></article>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seen = []
+    for parts in (1, 3, 7):
+        dealt = df.orderBy("url" if parts == 3 else "page_id").repartition(parts)
+        seen.append(({(r.host, r.branch, bytes(r.wrapper)) for r in W.wrappers(dealt).collect()}, sorted(map(tuple, main_texts(dealt).collect()))))
+    assert seen[0] == seen[1] == seen[2] and len(seen[0][0]) == 2
+    for i, _, text, _ in seen[0][1]:
+        assert text.startswith(f"{i}\n\n{i} 0") and "go" not in text and "changes" not in text
+        assert "Never changes" in main_text(rows[i][2])
