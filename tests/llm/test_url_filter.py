@@ -1,4 +1,7 @@
+import math
+import random
 import re
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -70,3 +73,80 @@ def test_more_urls_of_a_host_block_no_template_without_labels(spark):
     urls = [f"http://a.example.com/{lang}/{i}.html" for lang in ("de", "en") for i in range(2000)]
     got = judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
     assert all(r.verdict == ("block" if r.path.startswith("/de/") else "allow") for r in got)
+
+
+def slow_tree(urls, said, many=20, large=0.3, prior=10.0, reject=0.9):
+    """Template class, purity and verdict of each url (host, path), level by level in plain Python."""
+    def shape(seg):
+        m = re.search(r"\.[A-Za-z]{2,5}$", seg)
+        stem = seg[: m.start()] if m else seg
+        return "*" + (m[0] if m else "") if re.search(r"\d", stem) or re.match(r"^[0-9a-fA-F-]{8,}$", stem) or len(stem) > 24 else seg
+
+    rows = defaultdict(list)
+    t = {u: [shape(x) for x in u[1].split("/") if x] for u in set(urls)}
+    half_up = lambda x: math.floor(x + 0.5)
+    for level in range(max(map(len, t.values()), default=0)):
+        kids = defaultdict(list)
+        for u, seq in t.items():
+            if len(seq) > level:
+                kids[u[0], tuple(seq[:level]), seq[level]].append(u)
+        by_parent = defaultdict(list)
+        for (h, up, seg), us in kids.items():
+            below = Counter(t[u][level + 1] if len(t[u]) > level + 1 else "" for u in us)
+            spread = frozenset((k, half_up(n / len(us) * 4)) for k, n in below.items() if n * 20 >= len(us))
+            known = [said[u] for u in us if u in said]
+            by_parent[h, up].append((seg, us, (spread, half_up(known.count("block") / len(known) * 4) if known else None)))
+        for cs in by_parent.values():
+            sizes = [len(us) for _, us, _ in cs]
+            alike = Counter(kind for seg, _, kind in cs if not seg.startswith("*"))
+            for seg, us, kind in cs:
+                to = "*" if len(cs) >= many and max(sizes) <= sum(sizes) * large else ("~", kind) if not seg.startswith("*") and alike[kind] > 1 else seg
+                for u in us:
+                    t[u][level] = to
+    for u, seq in t.items():
+        rows[u[0], tuple(seq)].append(u)
+    base = sum(v == "block" for v in said.values()) / max(len(said), 1)
+    out = {}
+    for (h, seq), us in rows.items():
+        here = [u for u in t if u[0] == h]
+        share = (sum(said.get(u) == "block" for u in here) + prior * base) / (len(here) + prior)
+        known = [said[u] for u in us if u in said]
+        purity = (known.count("block") + prior * share) / (len(known) + prior)
+        for u in us:
+            out[u] = ((h, seq), purity, "block" if known and purity >= reject else "allow")
+    return out
+
+
+def test_tree_matches_the_definition(spark):
+    rng = random.Random(7)
+    words = ["news", "shop", "ads", "about", "tag", "img"]
+    urls, labels = [], []
+    for h in range(5):
+        for _ in range(100):
+            path = "".join("/" + rng.choice([rng.choice(words), str(rng.randrange(99)), rng.choice(words) + ".html", "".join(rng.choices("ghijkl", k=3))]) for _ in range(rng.choice([0, 1, 2, 3, 4, 7])))
+            urls.append(f"http://h{h}.test{path}")
+    urls += [f"http://h9.test/{kind}/{i}/{w}" for kind in ("ads", "news") for i in range(40) for w in ("in", "out")]
+    for u in rng.sample(urls, 300):
+        labels.append((u, "block" if "/ads" in u or rng.random() < 0.1 else "allow"))
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    told = spark.createDataFrame([*labels, (None, "block"), (urls[0], None), (urls[1], "perhaps")], "url string, verdict string")
+    got = {r.page_id: r for r in judge(df, [], labels=told, reject=0.7).collect()}
+    said = {}
+    for u, v in labels:
+        said[parse(u)] = max(v, said.get(parse(u), ""))
+    want = slow_tree([parse(u) for u in urls], said, reject=0.7)
+    names = defaultdict(set)
+    for i, u in enumerate(urls):
+        kind, purity, verdict = want[parse(u)]
+        assert math.isclose(got[i].purity, purity, rel_tol=1e-9) and got[i].verdict == verdict, u
+        names[kind].add((got[i].host, got[i].template))
+    assert all(len(x) == 1 for x in names.values()) and len({next(iter(x)) for x in names.values()}) == len(names)
+    # the tree blocks urls that no label names
+    assert sum(r.verdict == "block" and parse(urls[i]) not in said for i, r in got.items()) > 10
+
+
+def test_deep_paths_have_templates_of_their_own(spark):
+    urls = [f"http://d.test/a/b/c/d/e/{kind}/{i}" for kind in ("x", "y") for i in range(5)]
+    told = spark.createDataFrame([(u, "block" if "/x/" in u else "allow") for u in urls[1:9]], "url string, verdict string")
+    got = {r.page_id: r for r in judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), [], labels=told, prior_rows=1.0, reject=0.8).collect()}
+    assert got[0].verdict == "block" and got[9].verdict == "allow"
