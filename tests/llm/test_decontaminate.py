@@ -34,8 +34,9 @@ def data(seed):
 
 
 def test_against_brute_force(spark, monkeypatch):
-    for seed, window, block in ((1, 8, 10**6), (2, 4, 10**6), (3, 8, 20)):
+    for seed, window, block, once in ((1, 8, 10**6, 10**6), (2, 4, 10**6, 10**6), (3, 8, 20, 10**6), (4, 8, 20, 40)):
         monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+        monkeypatch.setattr(decontaminate, "PASS_WORDS", once)
         docs, items = data(seed)
         a = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as n_words")
         b = spark.createDataFrame(items, "item_id long, text string")
@@ -51,3 +52,25 @@ def test_cleaned(spark):
     assert got == [(1, "Before it. ! After it", 21), (3, "clean text", 10), (4, None, None)]
     assert cleaned(df.limit(0), bench).count() == 0 and cleaned(df, bench.limit(0)).count() == 4
     assert {r.doc_id for r in cleaned(df, bench, longest=5).collect()} == {3, 4}
+
+
+def test_cuts_are_looked_at_again(spark, monkeypatch):
+    inner, outer = "a b c d e f g h", "one two three four five six seven eight"
+    words_ = outer.split()
+    docs = [(1, " ".join(["start", *words_[:4], inner, *words_[4:], "end of it all"] + ["more"] * 20)), (2, "one two " + inner + " x" * 40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as `a.b`", "2 as c0")
+    bench = spark.createDataFrame([(1, inner), (2, outer)], "item_id long, text string")
+    for once in (10**6, 8):
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 8)
+        monkeypatch.setattr(decontaminate, "PASS_WORDS", once)
+        got = cleaned(df, bench)
+        assert got.columns == df.columns
+        texts = {r.doc_id: r.text.split() for r in got.collect()}
+        assert texts[1] == ["start", "end", "of", "it", "all"] + ["more"] * 20 and texts[2][:3] == ["one", "two", "x"]
+
+
+def test_long_text(spark):
+    item = " ".join(f"w{i}" for i in range(9))
+    df = spark.createDataFrame([(1, "w0 " * 300_000 + item + " w1" * 300_000)], "doc_id long, text string")
+    r = contamination(df, spark.createDataFrame([(1, item)], "item_id long, text string")).first()
+    assert (r.n_words, r.n_hit, r.n_items) == (600_009, 9, 1)
