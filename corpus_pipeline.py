@@ -3,20 +3,21 @@
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. run() writes each
 stage's rows as Parquet into the shared folder and reads them again for the next.
 
-Empty, null and repeated rows: a null text or one without letters goes with the language stage; a row with a null id
-belongs to no group of copies and stays; rows with the same id stay or go together.
+Cases: a null or empty text or one without letters goes with the language stage; a row with a null id belongs to no
+group of copies and stays; rows with the same id stay or go together; of a group of copies the least id stays; whole
+texts of any length are judged; further columns, whatever their names, are carried to the last stage, which has its
+own; an empty table passes through empty. A stage's files are removed once the next one has been written.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm import decontaminate, golay_simhash, language_id, packing, toxicity
-from keyloom.llm.common import keep_rows, table
+from keyloom.llm.common import keep_rows, shared_folder, table
 from keyloom.llm.queries import tokenizer_path
 
 #: Cosine with the nearest language below which a text is in none of the learned languages.
@@ -56,7 +57,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """One document of each group of near copies: the one with the least id."""
     found = golay_simhash.near_duplicates(docs, size=COPY_WORDS, bits=COPY_BITS, words=COPY_PRINTS)
     copies = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(copies, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,10 +84,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a data folder."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="keyloom-")
-    docs = table(spark, sf_dir, "documents")
+    at = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = f"{folder}/pipeline-{uuid.uuid4().hex}/{name}"
+        path = f"{at}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            done = spark._jvm.org.apache.hadoop.fs.Path(before)
+            done.getFileSystem(spark._jsc.hadoopConfiguration()).delete(done, True)
+        docs, before = spark.read.parquet(path), path
     return docs

@@ -213,7 +213,7 @@ def links(distinct: DataFrame, names: list[str], partitions: int, bits: int = BI
                     yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(part[row, i]) for i in range(len(names)))], ["key", *names])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held_fp = np.zeros(0, np.int64), np.zeros((0, len(names)), np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def close(key: np.ndarray, signed: np.ndarray) -> Iterator[pa.RecordBatch]:
             fp = np.ascontiguousarray(signed).view(np.uint64)
@@ -230,15 +230,18 @@ def links(distinct: DataFrame, names: list[str], partitions: int, bits: int = BI
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i].copy()) for i in range(pairs.shape[1])], [f"{x}_{n}" for x in "ab" for n in names])
 
         for batch in batches:
-            fp = np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1)
-            held_key, held_fp = np.concatenate([held_key, batch.column(0).to_numpy()]), np.concatenate([held_fp, fp])
-            # the last run may go on in the next batch
-            cut = int(np.searchsorted(held_key, held_key[-1])) if len(held_key) else 0
-            if cut:
-                yield from close(held_key[:cut], held_fp[:cut])
-                held_key, held_fp = held_key[cut:], held_fp[cut:]
-        if len(held_key):
-            yield from close(held_key, held_fp)
+            key, fp = batch.column(0).to_numpy(), np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1)
+            if not len(key):
+                continue
+            held.append((key, fp))
+            if key[-1] == held[0][0][0]:
+                continue  # all of it is one run, which may go on in the next batch
+            key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+            cut = int(np.searchsorted(key, key[-1]))
+            yield from close(key[:cut], fp[:cut])
+            held = [(key[cut:], fp[cut:])]
+        if held:
+            yield from close(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     words = ", ".join(f"{n} long" for n in names)
     keyed = distinct.select(*names).mapInArrow(expand, f"key long, {words}").repartition(partitions, "key").sortWithinPartitions("key")

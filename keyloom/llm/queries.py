@@ -63,6 +63,31 @@ QUERIES = {
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+def crc32_sql(text: str) -> str:
+    """CTEs that end in c (doc_id, nth, crc): the CRC-32 of every text of documents, in chunks of 256 bytes. A chunk's
+    register starts at 0 (the first, short one's at all ones) and moves 256 bytes on by a table for each of its bytes."""
+
+    def step(v: int, bits: int) -> int:
+        for _ in range(bits):
+            v = v >> 1 ^ (0xEDB88320 if v & 1 else 0)
+        return v
+
+    one = [step(i, 8) for i in range(256)]
+    on = [[step(i << 8 * k, 8 * 256) for i in range(256)] for k in range(4)]
+    moved = "a"
+    for k in range(4):
+        part = f"({on[k]}::BIGINT[])[((a >> {8 * k}) & 255) + 1]"
+        moved = part if k == 0 else f"xor({moved}, {part})"
+    return f"""d AS (SELECT doc_id, {text} AS text, row_number() OVER () AS nth, hex(encode({text})) AS h FROM documents),
+x AS (SELECT nth, k, CASE WHEN k = 0 THEN substr(h, 1, len(h) % 512) ELSE substr(h, 1 + len(h) % 512 + 512 * (k - 1), 512) END AS h
+  FROM (SELECT *, unnest(range(0, 1 + len(h) // 512)) AS k FROM d) t),
+y AS (SELECT nth, k, list_reduce(list_prepend(CASE WHEN k = 0 THEN 4294967295 ELSE 0 END::BIGINT,
+    list_transform(range(1, 1 + len(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT))),
+    lambda a, b: xor(a >> 8, ({one}::BIGINT[])[(xor(a, b) & 255) + 1])) AS r FROM x),
+c AS (SELECT nth, xor(list_reduce(list(r ORDER BY k), lambda a, b: xor({moved}, b)), 4294967295) AS crc FROM y GROUP BY nth)"""
+
+
 ORACLE_SQL = {
     "op3_decontaminate": f"""
 WITH d AS (SELECT doc_id, {WORDS} AS ws FROM documents),
@@ -88,5 +113,12 @@ s AS (
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op10_sharding": f"""
+WITH {crc32_sql("coalesce(text, '')")},
+s AS (SELECT doc_id, CAST(strlen(text) + 8 AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, md5(text) AS mark, d.nth FROM d JOIN c ON d.nth = c.nth),
+e AS (SELECT *, CAST(sum(size) OVER (ORDER BY mark, doc_id NULLS FIRST, nth ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto, CAST(sum(size) OVER () AS BIGINT) AS total FROM s),
+t AS (SELECT *, CAST(least(23, (2 * upto - size) * 24 // (2 * total)) AS INTEGER) AS shard FROM e)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY mark, doc_id NULLS FIRST, nth) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM t
 """,
 }

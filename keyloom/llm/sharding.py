@@ -1,12 +1,14 @@
 """Contiguous shards of near-equal bytes, from global prefix sums.
 
-Rows are range-partitioned by id and sorted; each partition adds up its bytes, the driver turns those totals (one row
-a partition) into offsets, and each partition then runs its prefix sums from its offset. A row goes to the shard in
-which its middle byte falls when the total is cut at equal targets, so shards are contiguous in id order and off by
-less than the largest text. Slots come from a second, equally small, set of totals: rows by partition and shard.
+Rows are range-partitioned and sorted by a hash of their text, then by id, so that equal texts follow each other and
+only a cut can part them; each partition adds up its bytes, the driver turns those totals (one row a partition) into
+offsets, and each partition then runs its prefix sums from its offset. A row goes to the shard in which its middle byte
+falls when the total is cut at equal targets, so shards are contiguous in that order and off by less than the largest
+text. Slots come from a second, equally small, set of totals: rows by partition and shard.
 
-Cases: null texts have no bytes; null ids sort first; repeated rows each keep a row, told apart by nothing and so
-interchangeable; a table without rows gives none; other columns are not carried. A group of equal ids is spread over
+Cases: null texts have no bytes and go with empty ones; null ids sort first among equal texts; repeated rows each keep
+a row, told apart by nothing and so interchangeable; texts of any length are one row's bytes, never cut; a table
+without rows gives none; other columns, whatever their names, are not carried. A group of equal texts is spread over
 partitions, since the range has every returned column and the row's place in its input as further keys.
 """
 
@@ -33,10 +35,11 @@ def byte_shards(df: DataFrame, shards: int = 24, id_col: str = "doc_id", text_co
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("bigint").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+        F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("mark"),
         F.monotonically_increasing_id().alias("place"),
     )
-    keys = ["doc_id", "text_crc32", "size", "place"]
-    rows = durable(rows.repartitionByRange(scan_width(rows), *keys).sortWithinPartitions(*keys).drop("place"))
+    keys = ["mark", "doc_id", "text_crc32", "size", "place"]
+    rows = durable(rows.repartitionByRange(scan_width(rows), *keys).sortWithinPartitions(*keys).drop("mark", "place"))
     pid = F.spark_partition_id().alias("pid")
     totals = {r.pid: r.n for r in rows.groupBy(pid).agg(F.sum("size").alias("n")).collect()}
     starts, total = {}, 0

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 from collections import defaultdict
@@ -6,7 +7,7 @@ from keyloom.llm.sharding import byte_shards
 
 
 def brute(rows, shards):
-    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    rows = sorted(rows, key=lambda r: (hashlib.md5((r[1] or "").encode()).hexdigest(), r[0] is not None, r[0] or 0))
     sizes = [len((t or "").encode()) + 8 for _, t in rows]
     total, at, slots, out = sum(sizes), 0, defaultdict(int), []
     for (i, t), s in zip(rows, sizes, strict=True):
@@ -35,3 +36,14 @@ def test_cases(spark):
         slots = sorted(r.slot for r in got if r.shard == s)
         assert slots == list(range(len(slots)))
     assert byte_shards(one.limit(0)).count() == 0
+
+
+def test_equal_texts_stay_together(spark):
+    rng = random.Random(3)
+    rows = [(i, f"text {rng.randrange(60)} " * 5) for i in range(600)]
+    got = byte_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 10).collect()
+    at, said = defaultdict(set), dict(rows)
+    for r in got:
+        at[said[r.doc_id]].add(r.shard)
+    # nine cuts part nine groups at most
+    assert sum(len(x) > 1 for x in at.values()) <= 9 and sum(map(len, at.values())) <= 60 + 9
