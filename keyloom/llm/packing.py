@@ -1,8 +1,10 @@
 """Lexical retrieval packing: windows filled with a seed document and its BM25 neighbours.
 
-Documents are tokenised once, where they are read, and their token ids are dealt to tasks by content: in the order of
+Documents are tokenised where they are read, and their token ids are dealt to tasks by content: in the order of
 a sketch of the least places that a document's ids have in some fixed shufflings of the vocabulary, so that alike
-documents lie together wherever the table has them. Consecutive documents of a task make up index shards of about
+documents lie together wherever the table has them. The bounds between tasks come from the sketches of a sample, so
+that the table's tokens are shuffled once and stored nowhere; documents on a bound (the many copies of one) are dealt
+to all tasks that it parts. Consecutive documents of a task make up index shards of about
 `shard_tokens` tokens; each shard has its own inverted index over token ids (postings with BM25 weights), so an index
 is bounded however large the table is. In a shard the first unused document, or the rest of one that was cut, is the
 seed; all its terms retrieve the unused neighbours by score, and those that fit go into the seed's window in that
@@ -11,17 +13,21 @@ whose rest seeds the next window; only without an unused neighbour is the next d
 shard are full but the last, whose documents are laid into windows of powers of two, which need no padding.
 
 A task's result depends on its rows alone: a lost executor's task gives the same pieces again. Sequence ids have the
-task's partition in the high bits. Many copies of one document are dealt to several tasks.
+task's partition in the high bits.
 
 Cases: null texts are empty and consist of the end id; repeated rows are packed each for itself; an empty table gives
-an empty result; documents longer than a window take several; other columns are not carried.
+an empty result; documents longer than a window take several; equal scores go by place in the shard; other columns,
+whatever their names, are not carried.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import durable, kept_by_worker, scan_width, slices, texts
+from .common import kept_by_worker, scan_width, slices, texts
+from .token_counts import byte_letters
 
 # Fixed values of BM25.
 K1, B = 1.2, 0.75
@@ -39,13 +46,18 @@ K1, B = 1.2, 0.75
 SKETCH, SEED = 8, 42
 #: What the tokenizer does not treat as white space though str.split() does, or may treat as a special token.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
-#: Letters and ASCII marks behind them; letters below this one lower one by one.
+#: Letters and ASCII marks behind them.
 MARKED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)")
-PLAIN = "\u0130"
+#: Below the first, letters lower one by one, to letters; below the second and composed, only the first is lowered to
+#: more than letters, which would join the marks behind a word.
+PLAIN, SOUND = "\u0130", "\u0530"
 #: Characters of texts that are tokenised together.
 BATCH_CHARS = 2_000_000
-#: Entries of the memo of a Python worker; when full, it keeps the current batch's words only.
-MEMO = 1_200_000
+#: Entries of the memo of a Python worker, and characters from which a word isn't remembered; when full, it keeps the
+#: current batch's words only.
+MEMO, LONG = 1_200_000, 64
+#: Documents whose sketches are sampled for each task; a term's postings are a dense row from this share of a shard on.
+SAMPLED, DENSE = 20, 1 / 8
 
 
 def folded(text: str) -> str:
@@ -61,8 +73,9 @@ def folded(text: str) -> str:
 class WordEncoder:
     """Token ids of texts for a tokenizer whose tokens never cross white space, memoised by word.
 
-    The words that a batch of texts adds are encoded in one call. A word of letters and a mark behind it falls into
-    two, and case is dropped by the tokenizer, so most new words are spellings of known ones.
+    Case is dropped by the tokenizer, and a word of letters and marks behind it falls into two, so most new words are
+    spellings of known ones. Plain words go straight to the library's merges; all else is encoded by the library in
+    one call for a batch of texts.
     """
 
     def __init__(self, path: str):
@@ -70,35 +83,60 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.merges = self.library.model
+        shown = {b: c for c, b in byte_letters().items()}
+        self.shown = {c: "".join(shown[b] for b in chr(c).encode()) for c in range(0x80, ord(PLAIN))}
         self.memo: dict[str, bytes] = {}
 
     def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
+        return [array("H", e.ids).tobytes() for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _plain(self, word: str) -> bytes:
+        """Ids of a lower-case word of plain letters."""
+        return array("H", [t.id for t in self.merges.tokenize(word if word.isascii() else word.translate(self.shown))]).tobytes()
 
     @staticmethod
     def _parts(word: str) -> tuple[str, ...]:
+        if word.isalpha():
+            return (word.lower(),) if max(word) < PLAIN else (word,)
         m = MARKED.fullmatch(word)
-        letters, marks = m.groups() if m and m[1].isalpha() else (word, "")
-        if letters < PLAIN and max(letters) < PLAIN:  # no letter whose lower case depends on its place
-            letters = letters.lower()
-        return (letters, marks) if marks else (letters,)
+        if not m or not m[1].isalpha():
+            return (word,)
+        letters, top = m[1], max(m[1])
+        if top < PLAIN:
+            return (letters.lower(), m[2])
+        return (letters, m[2]) if top < SOUND and PLAIN not in letters and unicodedata.is_normalized("NFC", letters) else (word,)
 
     def learn(self, words: set[str]) -> None:
         memo = self.memo
         if len(memo) > MEMO:
             memo = self.memo = {w: memo[w] for w in words if w in memo}
-        new = words.difference(memo)
-        parts = {w: self._parts(w) for w in new}
-        todo = list({x for p in parts.values() for x in p}.difference(memo))
-        memo.update(zip(todo, self._encode(todo), strict=True))
-        memo.update((w, b"".join([memo[x] for x in p])) for w, p in parts.items())
+        todo, several = set(), []
+        for w in words.difference(memo):
+            p = self._parts(w)
+            todo.update(p)
+            if p != (w,):
+                several.append((w, p))
+        hard = []
+        for x in todo.difference(memo):
+            if x.isalpha() and max(x) < PLAIN:
+                memo[x] = self._plain(x)
+            else:
+                hard.append(x)
+        memo.update(zip(hard, self._encode(hard), strict=True))
+        memo.update((w, b"".join([memo[x] for x in p])) for w, p in several)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         odd = [any(x in t for x in ODD) for t in texts]
         split = [[] if o else folded(t).split() for o, t in zip(odd, texts, strict=True)]
-        self.learn(set().union(*split))
+        words = set().union(*split)
+        self.learn(words)
         get = self.memo.__getitem__
-        return [np.frombuffer(self._encode([t])[0] if o else b"".join(map(get, ws)), "<u2") for o, ws, t in zip(odd, split, texts, strict=True)]
+        out = [np.frombuffer(self._encode([t])[0] if o else b"".join(map(get, ws)), "<u2") for o, ws, t in zip(odd, split, texts, strict=True)]
+        for w in words:
+            if len(w) >= LONG:
+                del self.memo[w]
+        return out
 
 
 def encoder(path: str) -> WordEncoder:
@@ -132,14 +170,23 @@ class Index:
         order = np.argsort(term, kind="stable")
         self.at = np.r_[0, np.cumsum(held)]
         self.doc, self.weight = doc[order], weight[order]
+        # terms that many documents have, as rows of a dense table of a few bytes a posting
+        common = np.flatnonzero((held > max(1, DENSE * self.n)))
+        self.row = np.full(1 << 16, -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.n), np.float32)
+        at = self.row[term] >= 0
+        self.dense[self.row[term[at]], doc[at]] = weight[at]
 
     def neighbours(self, seed: int) -> np.ndarray:
         """Documents that share terms with the seed, by falling score; ties to the earlier."""
         lo, hi = self.first[seed], self.first[seed + 1]
-        lists = [slice(self.at[t], self.at[t + 1]) for t in self.term[lo:hi][self.telling[lo:hi] > 0].tolist()]
-        if not lists:
-            return np.zeros(0, np.int64)
-        score = np.bincount(np.concatenate([self.doc[x] for x in lists]), np.concatenate([self.weight[x] for x in lists]), self.n)
+        terms = self.term[lo:hi][self.telling[lo:hi] > 0]
+        rows = self.row[terms]
+        score = self.dense[rows[rows >= 0]].sum(axis=0, dtype=np.float64)
+        lists = [slice(self.at[t], self.at[t + 1]) for t in terms[rows < 0].tolist()]
+        if lists:
+            score += np.bincount(np.concatenate([self.doc[x] for x in lists]), np.concatenate([self.weight[x] for x in lists]), self.n)
         order = np.argsort(-score, kind="stable")
         return order[score[order] > 0]
 
@@ -217,13 +264,26 @@ def packed(df: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, s
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
 
+    def encoded(b: pa.RecordBatch, at: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+        values = [t or "" for t in b.column(at).to_pylist()]
+        for lo, hi in slices(values, len, BATCH_CHARS):
+            yield lo, hi, encoder(tokenizer)(values[lo:hi])
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = Sketch()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sketch(x) for _, _, found in encoded(b, 0) for x in found], pa.binary())], ["place"])
+
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, sketch = encoder(tokenizer), Sketch()
+        sketch, edges = Sketch(), bounds.value
         for b in batches:
-            values = [t or "" for t in b.column(1).to_pylist()]
-            for lo, hi in slices(values, len, BATCH_CHARS):
-                found = encode(values[lo:hi])
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array([x.tobytes() for x in found], pa.binary()), pa.array([sketch(x) for x in found], pa.binary())], ["doc_id", "tokens", "place"])
+            for lo, hi, found in encoded(b, 1):
+                place, spread = [sketch(x) for x in found], b.column(2)[lo:hi].to_pylist()
+                part = []
+                for p, k in zip(place, spread, strict=True):
+                    first = bisect_left(edges, p)
+                    part.append(first + k % (bisect_right(edges, p, first) - first + 1))
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array([x.tobytes() for x in found], pa.binary()), pa.array(place, pa.binary()), pa.array(part, pa.int32())], ["doc_id", "tokens", "place", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end, id_kind = np.array([end_id], "<u2"), None
@@ -255,7 +315,10 @@ def packed(df: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, s
         if docs:
             yield flush()
 
-    # read twice, to find the ranges and to deal to them
-    rows = durable(texts(df, id_col, text_col).mapInArrow(tokenise, f"doc_id {kind}, tokens binary, place binary"))
-    rows = rows.repartitionByRange(scan_width(df), "place", F.xxhash64("doc_id")).sortWithinPartitions("place", "doc_id", "tokens")
-    return rows.select("doc_id", "tokens").mapInArrow(run, schema)
+    width = scan_width(df)
+    share = min(1.0, SAMPLED * width / max(1, df.count()))
+    drawn = sorted(bytes(r.place) for r in texts(df.sample(share, seed=SEED), F.col(text_col)).mapInArrow(places, "place binary").collect()) if width > 1 else []
+    bounds = df.sparkSession.sparkContext.broadcast([drawn[len(drawn) * i // width] for i in range(1, width)] if drawn else [])
+    rows = texts(df, F.col(id_col).alias("doc_id"), F.col(text_col), F.coalesce(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)), F.lit(0)).alias("spread"))
+    rows = rows.mapInArrow(tokenise, f"doc_id {kind}, tokens binary, place binary, part int").repartitionById(width, "part")
+    return rows.sortWithinPartitions("place", "doc_id", "tokens").select("doc_id", "tokens").mapInArrow(run, schema)

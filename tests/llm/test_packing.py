@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -21,8 +22,15 @@ def test_ids(text):
     assert E([text])[0].tolist() == T.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.tuples(st.text(max_size=4), st.sampled_from(["İ", "ŉ", "Σ", "ß", "क़", "é", "ﬁ", "a", ""]), st.text(alphabet=".,;!'-\u0301 1", max_size=3)), max_size=5))
+def test_ids_of_any_letters(parts):
+    text = "".join(map("".join, parts))
+    assert E([text])[0].tolist() == T.encode(text, add_special_tokens=False).ids
+
+
 def test_special_strings():
-    for text in ("a<|endoftext|>b", "<|startoftext|>", "Don't STOP...,. it's 12.5%", "tion.Nd,"):
+    for text in ("BELEDİYESİ.", "TARİHİ, x", "क़.", "x" * 500 + ".", "a<|endoftext|>b", "<|startoftext|>", "Don't STOP...,. it's 12.5%", "tion.Nd,"):
         assert E([text])[0].tolist() == T.encode(text, add_special_tokens=False).ids
 
 
@@ -32,6 +40,23 @@ def test_neighbours_are_the_alike():
     assert ix.neighbours(0)[:2].tolist() == [0, 2] and sorted(ix.neighbours(3).tolist()) == [1, 3] and ix.neighbours(4).tolist() == []
 
 
+def test_scores_are_bm25():
+    rng = np.random.default_rng(3)
+    docs = [rng.choice(40, rng.integers(1, 30), p=np.arange(40, 0, -1) / 820).astype("<u2") for _ in range(60)]
+    ix, mean, has = Index(docs), np.mean([len(d) for d in docs]), [set(d.tolist()) for d in docs]
+    for seed in range(60):
+        score = np.zeros(60)
+        for t in has[seed]:
+            df = sum(t in h for h in has)
+            for k, d in enumerate(docs):
+                tf = int((d == t).sum())
+                if tf and df > 1:
+                    score[k] += math.log(1 + (60 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
+        got = ix.neighbours(seed)
+        assert set(got.tolist()) == set(np.flatnonzero(score > 0).tolist())
+        assert (np.diff(score[got]) <= 1e-5).all()
+
+
 def check(rows, docs, window):
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
