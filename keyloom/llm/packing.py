@@ -57,7 +57,7 @@ BATCH_CHARS = 2_000_000
 #: current batch's words only.
 MEMO, LONG = 1_200_000, 64
 #: Documents whose sketches are sampled for each task; a term's postings are a dense row from this share of a shard on.
-SAMPLED, DENSE = 20, 1 / 8
+SAMPLED, DENSE = 60, 1 / 8
 
 
 def folded(text: str) -> str:
@@ -272,7 +272,8 @@ def packed(df: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, s
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = Sketch()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sketch(x) for _, _, found in encoded(b, 0) for x in found], pa.binary())], ["place"])
+            seen = [(sketch(x), len(x) + 1) for _, _, found in encoded(b, 0) for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in seen], pa.binary()), pa.array([n for _, n in seen], pa.int64())], ["place", "n"])
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, edges = Sketch(), bounds.value
@@ -317,8 +318,10 @@ def packed(df: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, s
 
     width = scan_width(df)
     share = min(1.0, SAMPLED * width / max(1, df.count()))
-    drawn = sorted(bytes(r.place) for r in texts(df.sample(share, seed=SEED), F.col(text_col)).mapInArrow(places, "place binary").collect()) if width > 1 else []
-    bounds = df.sparkSession.sparkContext.broadcast([drawn[len(drawn) * i // width] for i in range(1, width)] if drawn else [])
+    drawn = sorted((bytes(r.place), r.n) for r in texts(df.sample(share, seed=SEED), F.col(text_col)).mapInArrow(places, "place binary, n long").collect()) if width > 1 else []
+    # equal shares of the sampled tokens, as long documents lie together
+    upto = np.cumsum([n for _, n in drawn])
+    bounds = df.sparkSession.sparkContext.broadcast([drawn[int(np.searchsorted(upto, upto[-1] * i / width))][0] for i in range(1, width)] if drawn else [])
     rows = texts(df, F.col(id_col).alias("doc_id"), F.col(text_col), F.coalesce(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)), F.lit(0)).alias("spread"))
     rows = rows.mapInArrow(tokenise, f"doc_id {kind}, tokens binary, place binary, part int").repartitionById(width, "part")
     return rows.sortWithinPartitions("place", "doc_id", "tokens").select("doc_id", "tokens").mapInArrow(run, schema)
