@@ -12,6 +12,7 @@ def limits() -> list[float]:
     return [float(x) for x in [*range(1, 10), *(s * 10**d for d in range(9) for s in steps)]] + [1e200]
 
 
+# Fixed values.
 LIMITS = limits()
 
 

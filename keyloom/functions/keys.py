@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bytes import LCG_FACTOR, LCG_MODULUS, MASK_DELTA
+
 #: Digits of an encoded integer key, so that byte order is numeric order.
 WIDTH = 16
 PUT, DELETE = 1, 0
@@ -92,3 +94,52 @@ def consume_decimal(text: Column) -> Column:
 def next_power2(n: Column) -> Column:
     """The least power of two that is no less; 0 gives 0."""
     return F.when(n <= 0, F.lit(0)).otherwise(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.length(F.bin(n - 1)) * (n > 1).cast("int"))).cast("bigint")
+
+
+def from_little_endian(data: Column, at: int, size: int) -> Column:
+    """The integer of `size` bytes (up to 7, or 8 without the sign bit) that starts at a place, least byte first."""
+    digits = F.hex(F.substring(data, at + 1, size))
+    return F.conv(F.concat(*[F.substring(digits, 2 * (size - i) - 1, 2) for i in range(size)]), 16, 10).cast("bigint")
+
+
+def varint(n: Column) -> Column:
+    """A non-negative integer in base 128, least first, as binary."""
+    size, part = varint_length(n), lambda i: F.shiftrightunsigned(n.cast("bigint"), 7 * i).bitwiseAND(F.lit(127))
+    byte = lambda i: F.lpad(F.hex(part(i) + F.when(size > i + 1, 128).otherwise(0)), 2, "0")
+    return F.unhex(F.concat(*[F.when(size > i, byte(i)).otherwise(F.lit("")) for i in range(9)]))
+
+
+def length_prefixed(data: Column) -> Column:
+    return F.concat(varint(F.octet_length(data)), data)
+
+
+def masked_crc(crc: Column) -> Column:
+    """A checksum as it is stored: turned by 15 bits, and a constant added."""
+    c = crc.cast("bigint")
+    return (F.shiftright(c, 15).bitwiseOR(F.shiftleft(c, 17)).bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(MASK_DELTA)).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def unmasked_crc(stored: Column) -> Column:
+    r = (stored.cast("bigint") - F.lit(MASK_DELTA)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.shiftright(r, 17).bitwiseOR(F.shiftleft(r, 15)).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def without_prefix(text: Column, n: int) -> Column:
+    """A text or binary without its first n characters or bytes; an error where it is shorter."""
+    size = F.length(text)
+    return F.when(size >= n, F.substr(text, F.lit(n + 1), size)).when(size < n, F.raise_error(F.lit(f"shorter than {n}")).cast("string"))
+
+
+def shown_entry(key: Column, seq: Column) -> Column:
+    return F.concat(key, F.lit("["), seq.cast("string"), F.lit("]"))
+
+
+def lcg(n: Column, seed: int = 301) -> Column:
+    """The n-th draw (n up to 2^40) of the multiplicative generator: the seed times those powers of the factor that n's
+    bits stand for, so that any draw is found without those before it."""
+    seed &= 0x7FFFFFFF
+    out = F.lit(1 if seed in (0, LCG_MODULUS) else seed).cast("bigint")
+    for bit in range(40):
+        power = pow(LCG_FACTOR, 1 << bit, LCG_MODULUS)
+        out = (out * F.when(F.shiftrightunsigned(n.cast("bigint"), bit).bitwiseAND(F.lit(1)) == 1, F.lit(power)).otherwise(F.lit(1)).cast("bigint")) % F.lit(LCG_MODULUS)
+    return out

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +45,47 @@ def appended(*batches: DataFrame) -> DataFrame:
     return numbered(rows, [F.col("_batch"), F.col("op_ix")], -1, "op_ix").select("op_ix", "op", "user_key", "value")
 
 
+def cleared(batch: DataFrame) -> DataFrame:
+    """The batch without its operations: what is left is its header of 12 bytes."""
+    return batch.limit(0)
+
+
+#: Bytes that a group of queued writes grows to, and that a small first write lets it grow by.
+GROUP_BYTES, SMALL_BYTES = 1 << 20, 128 << 10
+
+
+def write_groups(queue: DataFrame) -> DataFrame:
+    """queue, writer, group_id: which queued writes (queue, writer, bytes, sync) are committed together. The first of a
+    group leads it; others join in order while the group stays below its bound, and one that asks for a sync doesn't
+    join a leader that doesn't. Each queue is one store's, bounded by the writers that wait in it."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, group, size, most, synced = None, 0, 0, 0, False
+        for b in batches:
+            out = []
+            for q, _, n, sync in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if q != at:
+                    at, group, joins = q, -1, False
+                else:
+                    joins = size + n <= most and (synced or not sync)
+                if joins:
+                    size += n
+                else:
+                    group, size, synced = group + 1, n, sync
+                    most = n + SMALL_BYTES if n <= SMALL_BYTES else GROUP_BYTES
+                out.append(group)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int64())], ["queue", "writer", "group_id"])
+
+    rows = queue.select(F.col("queue").cast("bigint").alias("queue"), F.col("writer").cast("bigint").alias("writer"), F.col("bytes").cast("bigint").alias("bytes"), F.col("sync").alias("sync"))
+    return rows.repartition("queue").sortWithinPartitions("queue", "writer").mapInArrow(deal, "queue long, writer long, group_id long")
+
+
+def entry_bytes(log: DataFrame) -> DataFrame:
+    """The log with raw_bytes, what an entry takes in memory: length and bytes of the internal key, then of the value."""
+    key, value = F.octet_length("user_key") + 8, F.coalesce(F.octet_length(F.col("value").cast("string")), F.lit(0))
+    return log.withColumn("raw_bytes", (varint_length(key) + key + varint_length(value) + value).cast("bigint"))
+
+
 def batch_bytes(batch: DataFrame, *by: str) -> DataFrame:
     """Serialised size: a header of 12 bytes, and each operation's tag, key and (if put) value with their lengths."""
     key, value = F.octet_length("user_key"), F.coalesce(F.octet_length(F.col("value").cast("string")), F.lit(0))

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import DELETE
 from . import segments
-from .ranges import ranged
+from .ranges import following, ranged, summed_before
 
 
 def marked(log: DataFrame, smallest_snapshot: int) -> DataFrame:
-    """dropped: a newer version of the key is visible to every live snapshot. Tombstones follow the same rule."""
-    newer = F.lag("seq").over(Window.partitionBy("user_key").orderBy(F.desc("seq")))
-    return log.withColumn("dropped", F.coalesce(newer <= smallest_snapshot, F.lit(False)))
+    """dropped: a newer version of the key is visible to every live snapshot. Tombstones follow the same rule. The log is
+    read in key order over ranges, so a key with very many versions is no single task's work."""
+    rows = following(log, [F.col("user_key"), -F.col("seq")], F.struct("user_key", "seq"), "_newer")
+    newer = F.when(F.col("_newer.user_key") == F.col("user_key"), F.col("_newer.seq"))
+    return rows.withColumn("dropped", F.coalesce(newer <= smallest_snapshot, F.lit(False))).drop("_newer")
 
 
 def kept(log: DataFrame, smallest_snapshot: int) -> DataFrame:
@@ -35,11 +37,11 @@ def purged(log: DataFrame, smallest_snapshot: int) -> DataFrame:
 def rewritten(log: DataFrame, smallest_snapshot: int, size: int, first_id: int = 0, n: int | None = None) -> DataFrame:
     """What is kept, in segments of about `size` entries that don't overlap: a key's versions stay together."""
     rows = ranged(kept(log, smallest_snapshot), [F.col("user_key")], n)
-    keys = rows.groupBy("_range", "user_key").agg(F.count("*").alias("n"))
-    run = F.sum("n").over(Window.partitionBy("_range").orderBy("user_key").rowsBetween(Window.unboundedPreceding, -1))
-    cuts = keys.withColumn("_cut", F.floor(F.coalesce(run, F.lit(0)) / size))
-    ids = cuts.select("_range", "_cut").distinct().withColumn("segment_id", (F.row_number().over(Window.orderBy("_range", "_cut")) - 1 + first_id).cast("bigint"))
-    return rows.join(cuts.select("user_key", "_cut"), "user_key").join(ids, ["_range", "_cut"]).drop("_range", "_cut")
+    # a key's rank is one more than the rows before it, so all its versions get the same cut
+    rows = rows.withColumn("_cut", F.floor((F.rank().over(Window.partitionBy("_range").orderBy("user_key")) - 1) / size))
+    cuts = rows.select("_range", "_cut").distinct().withColumn("_nth", F.row_number().over(Window.partitionBy("_range").orderBy("_cut")))
+    ids = cuts.join(F.broadcast(summed_before(cuts, F.lit(1))), "_range").select("_range", "_cut", (F.col("before") + F.col("_nth") - 1 + first_id).cast("bigint").alias("segment_id"))
+    return rows.join(ids, ["_range", "_cut"]).drop("_range", "_cut")
 
 
 def manifest_after(m: DataFrame, old_ids: DataFrame, new: DataFrame) -> DataFrame:

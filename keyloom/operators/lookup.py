@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import PUT
+from .scan import nearest
 
 
 def multi_get(view: DataFrame, probes: DataFrame) -> DataFrame:
@@ -14,14 +15,13 @@ def multi_get(view: DataFrame, probes: DataFrame) -> DataFrame:
     return probes.select("user_key").join(hits, "user_key", "left").select("user_key", F.coalesce("hit", F.lit(False)).alias("found"), "value")
 
 
-def asof_get(log: DataFrame, probes: DataFrame) -> DataFrame:
-    """user_key, as_of_seq, found, value: what a read at each probe's sequence sees. The log is semi-joined first, so
-    only versions of probed keys are compared."""
-    asked = probes.select("user_key", "as_of_seq").distinct()
-    pairs = asked.join(log, (asked.user_key == log.user_key) & (log.seq <= asked.as_of_seq), "left").select(asked.user_key, asked.as_of_seq, log.seq, log.op, log.value)
-    newest = pairs.groupBy("user_key", "as_of_seq").agg(F.max_by(F.struct("op", "value"), F.col("seq")).alias("v"))
-    found = F.coalesce(F.col("v.op") == PUT, F.lit(False))
-    return newest.select("user_key", "as_of_seq", found.alias("found"), F.when(found, F.col("v.value")).alias("value"))
+def asof_get(log: DataFrame, probes: DataFrame, n: int | None = None) -> DataFrame:
+    """user_key, as_of_seq, found, value: what a read at each probe's sequence sees. Versions and probes go through one
+    order of key and sequence, and the last version is carried to the probes behind it."""
+    asked = probes.select("user_key", F.col("as_of_seq").alias("seq")).distinct()
+    seen = nearest(log, asked, ["user_key", "seq"], F.struct("user_key", "op", "value"), False, n)
+    found = F.coalesce((F.col("hit.user_key") == F.col("user_key")) & (F.col("hit.op") == PUT), F.lit(False))
+    return seen.select("user_key", F.col("seq").alias("as_of_seq"), found.alias("found"), F.when(found, F.col("hit.value")).alias("value"))
 
 
 def members(probes: DataFrame, view: DataFrame) -> DataFrame:
@@ -36,10 +36,22 @@ def fingerprint(digits: int):
     return F.substring(F.md5(F.col("user_key").cast("binary")), 1, digits)
 
 
+def marks(keys: DataFrame, digits: int = 3) -> DataFrame:
+    """A filter's content: each short fingerprint and how many of the keys have it."""
+    return keys.groupBy(fingerprint(digits).alias("mark")).agg(F.count("*").alias("n"))
+
+
+def without_marks(held: DataFrame, gone: DataFrame, digits: int = 3) -> DataFrame:
+    """A filter's content after some of its keys were deleted, each of which takes one of its fingerprint's count; a
+    key that was never added takes another's, as with any filter of fingerprints."""
+    left = held.unionByName(marks(gone, digits).select("mark", (-F.col("n")).alias("n"))).groupBy("mark").agg(F.sum("n").alias("n"))
+    return left.where("n > 0")
+
+
 def candidates(probes: DataFrame, view: DataFrame, digits: int = 3) -> DataFrame:
     """Probes that a filter of short fingerprints lets through, with whether they are really there: never a miss,
     sometimes a false alarm."""
-    held = view.select(fingerprint(digits).alias("mark")).distinct()
+    held = marks(view, digits).select("mark")
     passed = probes.select("user_key", fingerprint(digits).alias("mark")).join(held, "mark", "left_semi").select("user_key")
     real = view.select("user_key", F.lit(True).alias("r"))
     return passed.join(real, "user_key", "left").select("user_key", F.coalesce("r", F.lit(False)).alias("present"))

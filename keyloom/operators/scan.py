@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.keys import has_prefix
 from .ranges import carried, numbered, ranged
@@ -40,21 +41,48 @@ def at_position(view: DataFrame, *positions: int) -> DataFrame:
     return numbered(view, [F.col("user_key")], name="position").where(F.col("position").isin(*positions))
 
 
+def nearest(held: DataFrame, asked: DataFrame, order: list[str], hit: Column, forward: bool, n: int | None = None) -> DataFrame:
+    """asked's columns (the order's) and hit: of the held rows, the first that is not before each asked place, or the
+    last that is not after it (where equal places count, asked must sort so). Nothing is compared pairwise: both sides
+    go through one order, and a hit is carried along it, over range edges too."""
+    kinds = held.select(hit.alias("hit")).schema["hit"].dataType
+    rows = held.select(*order, F.lit(1).alias("kind"), hit.alias("hit")).unionByName(asked.select(*order, F.lit(0 if forward else 2).alias("kind"), F.lit(None).cast(kinds).alias("hit")))
+    place = [*order, "kind"]
+    rows = ranged(rows, [F.col(c) for c in place], n)
+    # a forward seek reads the order from its end: frames that grow row by row stay linear
+    w = Window.partitionBy("_range").orderBy(*[F.desc(c) if forward else F.asc(c) for c in place]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.withColumn("near", F.last("hit", ignorenulls=True).over(w)).where("kind != 1")
+    # of a range's hits the one nearest to its edge: the order's columns say which
+    edge = F.when(F.col("hit").isNotNull(), F.struct(*order, F.col("hit").alias("hit")))
+    out = found.join(F.broadcast(carried(rows, edge, later=forward)), "_range")
+    return out.select(*order, F.coalesce("near", F.col("carry.hit")).alias("hit"))
+
+
 def seek_many(view: DataFrame, targets: DataFrame, forward: bool = True, n: int | None = None) -> DataFrame:
     """target, found_key, value: for each distinct target the first live key that is not below it (forward), or the
     last one that is below it; nulls where there is none."""
-    keys = view.select("user_key", F.lit(1).alias("kind"), F.struct("user_key", "value").alias("hit"))
-    asked = targets.select(F.col("target").alias("user_key")).distinct().withColumn("kind", F.lit(0)).withColumn("hit", F.lit(None).cast(keys.schema["hit"].dataType))
+    asked = targets.select(F.col("target").alias("user_key"), F.lit(0).alias("at")).distinct()
     # at equal keys the target comes first, so a forward seek meets the key and a backward one doesn't
-    rows = ranged(keys.unionByName(asked), [F.col("user_key"), F.col("kind")], n)
-    # a forward seek reads the order from its end: frames that grow row by row stay linear
-    order = [F.desc("user_key"), F.desc("kind")] if forward else [F.asc("user_key"), F.asc("kind")]
-    w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    near = F.last("hit", ignorenulls=True).over(w)
-    rest = carried(rows, F.col("hit"), later=forward)
-    found = rows.withColumn("near", near).where("kind = 0").join(F.broadcast(rest), "_range")
-    hit = F.coalesce("near", "carry")
-    return found.select(F.col("user_key").alias("target"), hit["user_key"].alias("found_key"), hit["value"].alias("value"))
+    held = view.withColumn("at", F.lit(1))
+    out = nearest(held, asked, ["user_key", "at"], F.struct("user_key", "value"), forward, n)
+    return out.select(F.col("user_key").alias("target"), F.col("hit.user_key").alias("found_key"), F.col("hit.value").alias("value"))
+
+
+def exact_hits(view: DataFrame, targets: DataFrame, n: int | None = None) -> DataFrame:
+    """asked and found: of the targets sought, how many are live keys themselves."""
+    out = seek_many(view, targets, True, n)
+    return out.agg(F.count("*").alias("asked"), F.count(F.when(F.col("target") == F.col("found_key"), 1)).alias("found"))
+
+
+def merged(schema: T.StructType, *children: DataFrame, spark: SparkSession, reverse: bool = False) -> DataFrame:
+    """Any number of change logs as one, in internal order: none gives no rows, one passes as it is but for the order.
+    Rows that are equal in that order come by the rank of their child: rising, or falling when read in reverse."""
+    out = spark.createDataFrame([], schema).withColumn("_child", F.lit(-1))
+    for i, c in enumerate(children):
+        out = out.unionByName(c.select(*schema.names).withColumn("_child", F.lit(i)))
+    order = [F.asc("user_key"), F.desc("seq"), F.desc("op"), F.asc("_child")]
+    back = [F.desc("user_key"), F.asc("seq"), F.asc("op"), F.desc("_child")]
+    return out.orderBy(*(back if reverse else order)).drop("_child")
 
 
 def neighbours(view: DataFrame, n: int | None = None) -> DataFrame:

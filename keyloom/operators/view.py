@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.keys import DELETE, PUT
+from .ranges import following
 
 
 def newest() -> WindowSpec:
@@ -38,8 +39,9 @@ def tombstoned(log: DataFrame, as_of: int | None = None) -> DataFrame:
 
 def resurrected(log: DataFrame) -> DataFrame:
     """Keys that were put again right after a delete, and how often."""
-    before = F.lag("op").over(Window.partitionBy("user_key").orderBy("seq"))
-    return log.withColumn("_was", before).where((F.col("_was") == DELETE) & (F.col("op") == PUT)).groupBy("user_key").agg(F.count("*").alias("times"))
+    rows = following(log, [F.col("user_key"), F.col("seq")], F.struct("user_key", "op"), "_was")
+    again = (F.col("_was.user_key") == F.col("user_key")) & (F.col("_was.op") == DELETE) & (F.col("op") == PUT)
+    return rows.where(again).groupBy("user_key").agg(F.count("*").alias("times"))
 
 
 def history(log: DataFrame) -> DataFrame:

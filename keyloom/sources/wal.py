@@ -6,14 +6,16 @@ Bytes are made and read by plain functions; DataFrames go through them a batch o
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bytes import crc32c, get_slice, masked, put_slice, unmasked
-from .files import Corruption
+from ..functions.keys import from_little_endian
+from .files import Corruption, Files, file_name
 
 # Fixed values of the format.
 BLOCK, HEADER = 32768, 7
@@ -68,88 +70,150 @@ def encode_records(records: list[bytes]) -> bytes:
     return bytes(out)
 
 
-def decode_records(data: bytes, start: int = 0) -> Iterator[tuple[int, bytes | None, str]]:
-    """(offset, record, trouble) of a log from the block of `start` on: records that begin before it are left out. A
-    bad checksum loses the rest of its block; a tail that was cut off while written is no trouble."""
-    at = start - start % BLOCK
-    if start % BLOCK > BLOCK - HEADER + 1:
-        at += BLOCK
-    held, begin, skipping = None, 0, at > 0
-    while at + HEADER <= len(data):
-        room = BLOCK - at % BLOCK
-        if room < HEADER:
-            at += room
-            continue
-        stored, size, kind = struct.unpack_from("<IHB", data, at)
-        if kind == 0 and size == 0:  # space laid out but never written
-            at += room
-            held = None
-            continue
-        if HEADER + size > room:
-            if at + room >= len(data):
+#: What is wrong where a part of a log can't be used.
+OVERLONG, DAMAGED, HEADLESS, ENDLESS, STRANGE = "a part is longer than its block", "a part's checksum is wrong", "a record lacks its beginning", "a record lacks its end", "a part's kind is unknown"
+
+
+def _parts(data: bytes, start: int) -> Iterator[tuple[int, int, bytes, str, int]]:
+    """(offset, kind, payload, trouble, bytes lost) of the parts in the block of `start` and those after it; kind 0 is a
+    break in what can be read. The end of data that stops inside a part was being written, and is no trouble."""
+    for block in range(start // BLOCK * BLOCK, len(data), BLOCK):
+        at, end = block, block + BLOCK
+        while end - at >= HEADER:
+            if len(data) - at < HEADER:
                 return
-            yield at, None, "bad length"
-            at += room
-            held = None
-            continue
-        if at + HEADER + size > len(data):
-            return
-        part = data[at + HEADER : at + HEADER + size]
-        if unmasked(stored) != crc32c(bytes([kind]) + part):
-            yield at, None, "checksum mismatch"
-            at += room
-            held = None
-            continue
-        offset, at = at, at + HEADER + size
-        if skipping and kind in (MIDDLE, LAST):
-            skipping = kind == MIDDLE
+            stored, size, kind = struct.unpack_from("<IHB", data, at)
+            body = at + HEADER
+            if not kind and not size:  # zeros: laid out ahead, not used
+                yield at, 0, b"", "", 0
+                break
+            if body + size > len(data) and (body + size <= end or len(data) <= end):
+                return
+            payload = data[body : body + size]
+            trouble = OVERLONG if body + size > end else DAMAGED if unmasked(stored) != crc32c(bytes([kind]) + payload) else ""
+            if trouble:  # its length can't be trusted, so the block's rest goes with it
+                yield at, 0, b"", trouble, min(end, len(data)) - at
+                break
+            yield at, kind, payload, "", 0
+            at = body + size
+
+
+def decode_records(data: bytes, start: int = 0) -> Iterator[tuple[int, bytes | None, str, int]]:
+    """(offset, record, trouble, bytes lost) of the records that begin at `start` or behind it. A start that leaves no
+    room for a header in its block means the next block."""
+    if BLOCK - start % BLOCK < HEADER:
+        start += BLOCK - start % BLOCK
+    held: list[bytes] = []
+    begin, entered = 0, start < BLOCK
+    for at, kind, payload, trouble, lost in _parts(data, start):
+        opens, closes = kind in (FULL, FIRST), kind in (FULL, LAST)
+        if not entered and kind in (MIDDLE, LAST):  # of a record that begins before the first block read
+            entered = closes
             continue
-        skipping = False
-        if kind in (FULL, FIRST):
-            if held is not None:
-                yield begin, None, "partial record without end"
-            held, begin = part, offset
-        elif kind in (MIDDLE, LAST):
-            if held is None:
-                yield offset, None, "missing start of fragmented record"
-                continue
-            held += part
-        else:
-            yield offset, None, f"unknown record type {kind}"
-            held = None
+        entered = True
+        if held and (opens or kind not in (MIDDLE, LAST)):
+            if opens or trouble:
+                yield begin, None, ENDLESS, sum(map(len, held))
+            held = []
+        if trouble:
+            yield at, None, trouble, lost
+        elif kind > LAST:
+            yield at, None, STRANGE, len(payload)
+        elif opens:
+            held, begin = [payload], at
+        elif kind and not held:
+            yield at, None, HEADLESS, len(payload)
             continue
-        if kind in (FULL, LAST):
+        elif kind:
+            held.append(payload)
+        if closes and held:
             if begin >= start:
-                yield begin, held, ""
-            held = None
+                yield begin, b"".join(held), "", 0
+            held = []
 
 
-SCHEMA = "path string, record_offset long, seq long, op int, user_key binary, value binary, _corrupt string"
+SCHEMA = "path string, record_offset long, seq long, op int, user_key binary, value binary, _corrupt string, _lost long"
+#: Operations of an Arrow batch that a log is read into.
+AT_ONCE = 20_000
 
 
-def read_wal(spark: SparkSession, path: str, start: int = 0, paranoid: bool = False) -> DataFrame:
-    """Operations of all log files under a path. What can't be read is a row with _corrupt, or with paranoid an error."""
+def read_wal(spark: SparkSession, path: str | list[str], start: int = 0, paranoid: bool = False) -> DataFrame:
+    """Operations of log files, or of all in a folder. What can't be read is a row with _corrupt and the bytes lost, or
+    with paranoid an error. A file is read by one task, so writers keep files small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.int64()]
+        names = ["path", "record_offset", "seq", "op", "user_key", "value", "_corrupt", "_lost"]
+
+        def sent(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 rows: list[tuple] = []
-                for offset, record, trouble in decode_records(data, start):
+                for offset, record, trouble, lost in decode_records(data, start):
                     try:
-                        rows += [(name, offset, *r, None) for r in decode_batch(record)] if record is not None else [(name, offset, None, None, None, None, trouble)]
+                        rows += [(name, offset, *r, None, 0) for r in decode_batch(record)] if record is not None else []
                     except Corruption as e:
-                        trouble = str(e)
-                        rows.append((name, offset, None, None, None, None, trouble))
+                        trouble, lost = str(e), len(record)
                     if trouble and paranoid:
                         raise Corruption(f"{name} at {offset}: {trouble}")
-                types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.string()]
-                names = ["path", "record_offset", "seq", "op", "user_key", "value", "_corrupt"]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+                    if trouble:
+                        rows.append((name, offset, None, None, None, None, trouble, lost))
+                    if len(rows) >= AT_ONCE:
+                        yield sent(rows)
+                        rows = []
+                yield sent(rows)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(run, SCHEMA)
 
 
+def write_logs(log: DataFrame, root: str, first: int = 1, per_file: int = 100_000, batch: int = 1000) -> list[str]:
+    """Binary log files of a change log (as encoded()): `per_file` consecutive sequences each, numbered from `first` in
+    that order. Tasks write the bytes where Spark writes text (a row is a file, with one byte behind it that is too
+    short for a header); files get their names when all are there. The names are returned."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+
+        def sent() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([encode_records(held)], pa.binary())], ["file", "data"])
+
+        for b in batches:
+            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if held and k != last:
+                    yield sent()
+                    held = []
+                last = k
+                held.append(data)
+        if held:
+            yield sent()
+
+    files = Files(log.sparkSession, root)
+    rows = encoded(log, batch).select(F.floor((F.col("first_seq") - 1) / per_file).alias("file"), "data", "first_seq")
+    rows = rows.repartition("file").sortWithinPartitions("file", "first_seq").select("file", "data").mapInArrow(join, "file long, data binary")
+    at = f"logs-{uuid.uuid4().hex}"
+    rows.select("file", F.col("data").cast("string").alias("value")).write.option("lineSep", "\0").partitionBy("file").text(f"{files.root}/{at}")
+    names = []
+    for folder in sorted((x for x in files.list(at) if x.startswith("file=")), key=lambda x: int(x[5:])):
+        (part,) = [x for x in files.list(f"{at}/{folder}") if x.startswith("part-")]
+        names.append(file_name("log", first + len(names)))
+        files.rename(f"{at}/{folder}/{part}", names[-1])
+    files.delete(at)
+    return names
+
+
+def operations(rows: DataFrame, value: str = "string") -> DataFrame:
+    """user_key, seq, op, value of the sound rows of read_wal()."""
+    return rows.where("_corrupt is null").select(F.col("user_key").cast("string").alias("user_key"), "seq", "op", F.col("value").cast("string").cast(value).alias("value"))
+
+
+def batch_header(data: Column) -> tuple[Column, Column]:
+    """First sequence and count of a batch's bytes."""
+    return from_little_endian(data, 0, 8), from_little_endian(data, 8, 4).cast("int")
+
+
 def encoded(log: DataFrame, batch: int = 1000) -> DataFrame:
     """first_seq, data: the log (user_key, seq, op, value as text) as batches of consecutive sequences, each one
     record's payload. Sequences are dealt to batches by number, so a batch is one group of bounded size."""

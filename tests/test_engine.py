@@ -12,7 +12,7 @@ from keyloom.operators import compaction, scan, segments, view
 from keyloom.operators.changelog import schema
 from keyloom.operators.ranges import numbered
 from keyloom.sources import wal
-from keyloom.sources.files import Corruption, InvalidArgument, NotFound, file_name, parse_name
+from keyloom.sources.files import Corruption, Files, InvalidArgument, NotFound, NotSupported, StoreIOError, file_name, parse_name
 from keyloom.sources.store import Manifest, Options, Store, destroy
 
 
@@ -113,7 +113,9 @@ def test_store_against_model(spark, tmp_path):
     with pytest.raises(InvalidArgument):
         Store.open(spark, at, Options(error_if_exists=True))
     with pytest.raises(InvalidArgument):
-        Store.open(spark, at, Options(codec="other"))
+        Store.open(spark, at, Options(codec="decimal-16"))
+    with pytest.raises(NotSupported, match="not supported"):
+        Options(codec="other")
     with pytest.raises(Exception, match="a key is null"):
         store.put(spark.createDataFrame([(None, 1.0)], "user_key string, value double"))
     destroy(spark, at)
@@ -193,17 +195,27 @@ def test_wal(spark, tmp_path):
     rng = random.Random(8)
     batches = [wal.encode_batch(i * 10 + 1, [(1, f"k{j}".encode(), bytes(rng.randrange(0, 9000))) if rng.random() < 0.8 else (0, b"gone", None) for j in range(10)]) for i in range(12)]
     data = wal.encode_records(batches)
-    assert [r for _, r, _ in wal.decode_records(data)] == batches
-    assert [r for _, r, _ in wal.decode_records(data[:-5])] == batches[:-1]  # a cut tail is no trouble
+    assert [r for _, r, _, _ in wal.decode_records(data)] == batches
+    assert [r for _, r, _, _ in wal.decode_records(data[:-5])] == batches[:-1]  # a cut tail is no trouble
     assert list(wal.decode_records(bytes(wal.BLOCK) + b"")) == []
     broken = bytearray(data)
     broken[20] ^= 1
     got = list(wal.decode_records(bytes(broken)))
-    assert got[0][2] == "checksum mismatch" and [r for _, r, t in got if not t] == batches[-len([r for _, r, t in got if not t]):]
+    assert got[0][2:] == (wal.DAMAGED, wal.BLOCK) and [r for _, r, t, _ in got if not t] == batches[-len([r for _, r, t, _ in got if not t]):]
     lost = data[wal.BLOCK:]
-    assert any(t == "missing start of fragmented record" for _, _, t in wal.decode_records(lost)) or wal.decode_records(lost)
-    later = [o for o, r, _ in wal.decode_records(data) if o >= wal.BLOCK]
-    assert [o for o, r, _ in wal.decode_records(data, wal.BLOCK) if r is not None] == later
+    assert next(wal.decode_records(lost))[2] == wal.HEADLESS
+    later = [o for o, r, _, _ in wal.decode_records(data) if o >= wal.BLOCK]
+    for start in (wal.BLOCK, wal.BLOCK - 6):
+        assert [o for o, r, _, _ in wal.decode_records(data, start) if r is not None] == later
+    first = later[0] + 1
+    assert [o for o, r, _, _ in wal.decode_records(data, first) if r is not None] == later[1:]
+    cut = wal.encode_records([b"x" * 40_000])[: wal.BLOCK] + wal.encode_records([b"next"])
+    assert list(wal.decode_records(cut)) == [(0, None, wal.ENDLESS, wal.BLOCK - 7), (wal.BLOCK, b"next", "", 0)]
+    odd = bytearray(wal.encode_records([b"ab", b"cd"]))
+    odd[4:6] = b"\xff\xff"
+    assert [t for *_, t, _ in wal.decode_records(bytes(odd) + bytes(wal.BLOCK))] == [wal.OVERLONG]
+    kind9 = struct.pack("<IHB", fmt.masked(fmt.crc32c(b"\x09zz")), 2, 9) + b"zz"
+    assert list(wal.decode_records(kind9 + wal.encode_records([b"ok"]))) == [(0, None, wal.STRANGE, 2), (9, b"ok", "", 0)]
     for bad in (b"short", struct.pack("<QI", 1, 2) + b"\x00\x01a", struct.pack("<QI", 1, 1) + b"\x07\x01a", struct.pack("<QI", 1, 1) + b"\x01\x01a"):
         with pytest.raises(Corruption):
             wal.decode_batch(bad)
