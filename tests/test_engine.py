@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from keyloom.functions import bytes as fmt
 from keyloom.functions import histogram, keys
-from keyloom.operators import compaction, scan, segments, view
+from keyloom.operators import changelog, compaction, lookup, scan, segments, view
 from keyloom.operators.changelog import schema
-from keyloom.operators.ranges import numbered
+from keyloom.operators.ranges import following, numbered, running_sum
+from keyloom.sources import store as store_module
 from keyloom.sources import wal
 from keyloom.sources.files import Corruption, Files, InvalidArgument, NotFound, NotSupported, StoreIOError, file_name, parse_name
 from keyloom.sources.store import Manifest, Options, Store, destroy
@@ -238,3 +239,176 @@ def test_smoke_order(spark):
     assert [r.user_key for r in scan.range_scan(view.live(put), reverse=True).collect()] == want[::-1]
     gone = put.selectExpr("user_key", f"seq + {n} as seq", "0 as op", "cast(null as double) as value")
     assert view.live(put.unionByName(gone)).count() == 0 and view.live(put.unionByName(gone), n).count() == n
+
+
+def test_order_operators_do_not_depend_on_ranges(spark):
+    ops = random_log(11)
+    log = spark.createDataFrame(ops, schema())
+    m = segments.manifest(segments.cut(log, 20))
+    probes = spark.createDataFrame([(str(i),) for i in range(-3, 40)], "user_key string")
+    for build in (
+        lambda n: segments.stab(m, probes, n), lambda n: segments.overlap_counts(m, probes, n), lambda n: segments.mountains(m, n), lambda n: segments.islands(m, n),
+        lambda n: segments.windows(m, probes, n), lambda n: segments.next_starts(m, probes, "25", 200, n), lambda n: segments.containing(m, probes.selectExpr("user_key lo", "concat(user_key, '5') hi"), n),
+        lambda n: lookup.asof_get(log, probes.selectExpr("user_key", "explode(array(0L, 1L, 77L, 150L, 400L)) as_of_seq"), n), lambda n: following(log, [F.col("user_key"), F.col("seq")], F.col("op"), "was", n),
+        lambda n: running_sum(log, [F.col("seq")], F.col("op"), "upto", n),
+    ):
+        assert rows(build(1)) == rows(build(7))
+    live = {as_of: {k: v for k, _, v in model_live(ops, as_of)} for as_of in (0, 1, 77, 150, 400)}
+    for r in lookup.asof_get(log, probes.selectExpr("user_key", "explode(array(0L, 1L, 77L, 150L, 400L)) as_of_seq"), 5).collect():
+        assert (r.found, r.value) == (r.user_key in live[r.as_of_seq], live[r.as_of_seq].get(r.user_key))
+    spans = [(r.inf_key, r.sup_key) for r in m.collect()]
+    for r in segments.overlap_counts(m, probes, 6).collect():
+        assert r.overlaps == sum(a <= r.probe <= b for a, b in spans)
+
+
+def test_hot_key_is_read_over_ranges(spark):
+    """One key with nearly all versions: compaction and history across range edges."""
+    log = spark.createDataFrame([("hot" if i % 50 else f"k{i}", i, i % 3 and 1, float(i)) for i in range(1, 2001)], "user_key string, seq long, op int, value double")
+    prev, want = {}, set()
+    for k, s, *_ in sorted(map(tuple, log.collect()), key=lambda r: -r[1]):
+        want |= {(k, s)} if prev.get(k, 10**9) <= 1500 else set()
+        prev[k] = s
+    got = following(log, [F.col("user_key"), -F.col("seq")], F.struct("user_key", "seq"), "b", 9).where("b.user_key = user_key and b.seq <= 1500")
+    assert {(r.user_key, r.seq) for r in got.collect()} == want == {(r.user_key, r.seq) for r in compaction.marked(log, 1500).where("dropped").collect()}
+
+
+def one(spark, key, value=1.0):
+    return spark.createDataFrame([(key, value)], "user_key string, value double")
+
+
+def test_torn_manifest_is_passed_over(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "TAKEOVER", 0.3)
+    store = Store.open(spark, f"file://{tmp_path}/s")
+    store.put(one(spark, "a"))
+    store.files.create(file_name("manifest", 2), "")  # a writer died here
+    again = Store.open(spark, store.root)
+    assert rows(again.live()) == [("a", 1, 1.0)]
+    m = again.put(one(spark, "b"))
+    assert (m.number, m.parent) == (3, 1) and [r[0] for r in rows(Store.open(spark, store.root).live())] == ["a", "b"]
+    # the writer comes back and finishes its manifest: it isn't among the newest one's parents, so it commits again
+    assert not store._stands(2) and store._stands(1) and store._stands(3)
+
+
+def test_vacuum_leaves_writes_under_way(spark, tmp_path, monkeypatch):
+    store = Store.open(spark, f"file://{tmp_path}/s")
+    store.put(one(spark, "a"))
+    commit = store._commit
+
+    def late(change):
+        Store.open(spark, store.root).vacuum()
+        return commit(change)
+
+    monkeypatch.setattr(store, "_commit", late)
+    store.put(one(spark, "b"))
+    assert [r[0] for r in rows(Store.open(spark, store.root).live())] == ["a", "b"]
+    assert not [n for n in store.files.list() if n.endswith(".mark")]
+
+    def gone(change):
+        Store.open(spark, store.root).vacuum(abandoned=0)
+        return commit(change)
+
+    monkeypatch.setattr(store, "_commit", gone)
+    with pytest.raises(NotFound, match="not found"):
+        store.put(one(spark, "c"))
+    assert [r[0] for r in rows(Store.open(spark, store.root).live())] == ["a", "b"]
+
+
+def test_errors_stay(spark, tmp_path, monkeypatch, caplog):
+    store = Store.open(spark, f"file://{tmp_path}/s")
+    with caplog.at_level("INFO", "keyloom.store"):
+        store.put(one(spark, "a"))
+    assert "version 1, last sequence 1" in caplog.text
+    monkeypatch.setattr(compaction, "kept", lambda *_: (_ for _ in ()).throw(StoreIOError("disk", "full")))
+    store.flush()
+    with pytest.raises(StoreIOError, match="input or output failed: disk: full"):
+        store.compact_range()
+    with pytest.raises(StoreIOError):
+        store.put(one(spark, "b"))
+    monkeypatch.undo()
+    again = Store.open(spark, store.root)
+    again.put(one(spark, "b"))
+    assert [r[0] for r in rows(again.live())] == ["a", "b"]
+
+
+def test_reads_below_what_was_kept_are_refused(spark, tmp_path):
+    store = Store.open(spark, f"file://{tmp_path}/s")
+    for i in range(4):
+        store.put(one(spark, "a", float(i)))
+    held = store.snapshot()
+    store.put(one(spark, "a", 9.0))
+    store.flush()
+    store.compact_range()
+    assert rows(store.live(held)) == [("a", 4, 3.0)] and rows(store.live()) == [("a", 5, 9.0)]
+    with pytest.raises(InvalidArgument, match="compacted away"):
+        store.live(2)
+    with pytest.raises(InvalidArgument):
+        store.get(one(spark, "a").select("user_key"), 2)
+    number = store.manifest().number
+    store.vacuum()
+    store.files.delete(file_name("manifest", number))
+    m = store.repair()
+    assert m.value == "double" and m.last_seq == 5 and rows(store.live()) == [("a", 5, 9.0)]
+
+
+def test_logs_are_replayed_once(spark, tmp_path):
+    at = f"file://{tmp_path}/s"
+    ops = random_log(21)
+    names = wal.write_logs(spark.createDataFrame(ops, schema()), at, per_file=120, batch=7)
+    assert names == ["000001.log", "000002.log", "000003.log"]
+    for _ in range(2):
+        store = Store.open(spark, at)
+        assert rows(store.live()) == model_live(ops, 300) and store.manifest().replayed == 3 and store.manifest().last_seq == 300
+    wal.write_logs(spark.createDataFrame([("zz", 1, 1, 5.0)], schema()), at, first=4)
+    assert rows(Store.open(spark, at).live())[-1] == ("zz", 301, 5.0)
+    # a damaged log: left out, or with paranoid checks an error
+    data = bytearray((tmp_path / "s" / "000004.log").read_bytes())
+    data[9] ^= 1
+    (tmp_path / "s" / "000005.log").write_bytes(bytes(data))
+    with pytest.raises(Exception, match="checksum"):
+        Store.open(spark, at, Options(paranoid_checks=True))
+    assert Store.open(spark, at).manifest().last_seq == 301
+    lost = wal.read_wal(spark, f"{at}/000005.log").collect()
+    assert [(r._corrupt, r._lost) for r in lost] == [(wal.DAMAGED, len(data))]
+    with pytest.raises(InvalidArgument):
+        wal.write_logs(spark.createDataFrame([("zz", 1, 1, 5.0)], schema()), at, first=4)
+
+
+def test_rotation_and_grouped_writes(spark, tmp_path):
+    store = Store.open(spark, f"file://{tmp_path}/s", Options(write_buffer_rows=1, peak_overlap=2))
+    assert store.options.write_buffer_rows == 1 << 10
+    many = spark.range(1500).selectExpr("concat('k', lpad(id, 4, '0')) user_key", "cast(id as double) value")
+    store.put(many)
+    assert store.stats()["logs"] == 0 and store.stats()["segments"] >= 1 and not store.stats()["should_delay"]
+    store.put(many)
+    assert store.stats()["should_delay"] and {r.stamp for r in store.segment_manifest().collect()} == {1500, 3000}
+    before = store.manifest().number
+    m = store.write_all([changelog.puts(one(spark, "k0000", 1.0)), changelog.deletes(one(spark, "k0000")), changelog.puts(one(spark, "k0000", 2.0))], [F.col("user_key")])
+    assert m.number == before + 1 and m.last_seq == 3003
+    assert store.get(one(spark, "k0000").select("user_key")).first().value == 2.0
+
+
+def test_files(spark, tmp_path):
+    files = Files(spark, f"file://{tmp_path}")
+    assert files.create("a", "1") and not files.create("a", "2") and files.read("a") == "1" and files.age("a") < 60
+    files.rename("a", "b")
+    files.create("a", "2")
+    for name, to, error in (("a", "b", InvalidArgument), ("nope", "c", NotFound)):
+        with pytest.raises(error):
+            files.rename(name, to)
+    with pytest.raises(NotSupported):
+        files.append("a", "more")  # checksummed local files can't be added to
+    files.append("new", "begun")
+    assert files.read("new") == "begun" and files.list() == ["a", "b", "new"] and files.size("new") == 5
+
+
+def test_checksums_of_long_values():
+    rng = random.Random(4)
+    data = [rng.randbytes(n) for n in (0, 1, 1023, 1024, 1025, 2048, 5000, 70_001)]
+    assert fmt.crc32c_many(data).tolist() == [fmt.crc32c(x) for x in data]
+
+
+def test_merged(spark):
+    a, b = (spark.createDataFrame([("k", 1, 1, x), ("j", 2, 1, x)], schema()) for x in (1.0, 2.0))
+    assert scan.merged(schema(), spark=spark).count() == 0
+    assert [r.value for r in scan.merged(schema(), a, b, spark=spark).where("user_key = 'k'").collect()] == [1.0, 2.0]
+    assert [r.value for r in scan.merged(schema(), a, b, spark=spark, reverse=True).where("user_key = 'k'").collect()] == [2.0, 1.0]
