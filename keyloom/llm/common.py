@@ -1,14 +1,17 @@
-"""Shared plumbing: reading, durable cut points, Arrow batch helpers."""
+"""Shared plumbing: reading, samples, Arrow batch helpers."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..durable import durable, shared_folder
+
+__all__ = ["durable", "hash_bound", "keep_rows", "kept_by_worker", "scan_width", "shared_folder", "slices", "table", "texts"]
+
 #: Bytes of an Arrow batch, unless the session has a lower bound: texts may be long.
 BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 8 << 20
@@ -28,25 +31,6 @@ def texts(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*cols)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir. Where the session names none, a
-    temporary one will do in local mode, as in tests; on a cluster it would be another folder on each machine."""
-    sc = spark.sparkContext
-    if named := sc.getConf().get("spark.checkpoint.dir"):
-        return named
-    if not sc.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="keyloom-")
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder, so that lost executors lose nothing."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def hash_bound(n: int, least: int, wanted: int) -> int:
     """The 64-bit hash up to which about `wanted` of n rows lie. It is never below the least hash, so that whatever
     has rows has a sample, and whole numbers keep it exact at any n."""
