@@ -31,7 +31,7 @@ DIM = 512
 SEED = 20
 GRAM = 3
 UNKNOWN = "und"
-#: Three-grams whose vectors a Python worker keeps, and those that are bundled at once.
+#: Three-grams whose vectors a Python worker keeps (a byte a component), and those that are bundled at once.
 KEPT, AT_ONCE = 50_000, 8_000
 
 
@@ -43,7 +43,7 @@ class Space:
         self.number = np.array([-chr(c).isalpha() for c in range(0x110000)], np.int32)
         self.letters = np.array([0x20], np.int64)
         self.vectors: dict[int, np.ndarray] = {}
-        self.keys, self.grams = np.zeros(0, np.int64), np.zeros((0, DIM), np.float32)
+        self.keys, self.grams = np.zeros(0, np.int64), np.zeros((0, DIM), np.int8)
         self.room = np.zeros((AT_ONCE, DIM), np.float32)
 
     def letter_vector(self, c: int) -> np.ndarray:
@@ -77,9 +77,9 @@ class Space:
         if not len(new):
             return
         if len(self.keys) + len(new) > KEPT:
-            self.keys, self.grams, new = np.zeros(0, np.int64), np.zeros((0, DIM), np.float32), keys
+            self.keys, self.grams, new = np.zeros(0, np.int64), np.zeros((0, DIM), np.int8), keys
         new = np.unique(new)
-        made = np.array([np.roll(self.letter_vector(k >> 42), 2) * np.roll(self.letter_vector(k >> 21 & 0x1FFFFF), 1) * self.letter_vector(k & 0x1FFFFF) for k in new.tolist()], np.float32)
+        made = np.array([np.roll(self.letter_vector(k >> 42), 2) * np.roll(self.letter_vector(k >> 21 & 0x1FFFFF), 1) * self.letter_vector(k & 0x1FFFFF) for k in new.tolist()], np.int8)
         order = np.argsort(np.r_[self.keys, new], kind="stable")
         self.keys, self.grams = np.r_[self.keys, new][order], np.r_[self.grams, made][order]
 
@@ -92,7 +92,8 @@ class Space:
             for at in range(0, len(keys), AT_ONCE):
                 part = keys[at : at + AT_ONCE]
                 self._learn(part)
-                grams = np.take(self.grams, np.searchsorted(self.keys, part), axis=0, out=self.room[: len(part)], mode="clip")
+                grams = self.room[: len(part)]
+                grams[:] = np.take(self.grams, np.searchsorted(self.keys, part), axis=0, mode="clip")
                 row += weight[at : at + AT_ONCE] @ grams
             row /= np.linalg.norm(row) or 1
         return out

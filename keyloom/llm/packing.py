@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import kept_by_worker, scan_width, slices, texts
+from .common import kept_by_worker, let_go, scan_width, slices, texts
 from .token_counts import byte_letters
 
 # Fixed values of BM25.
@@ -53,9 +53,9 @@ MARKED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)")
 PLAIN, SOUND = "\u0130", "\u0530"
 #: Characters of texts that are tokenised together.
 BATCH_CHARS = 2_000_000
-#: Entries of the memo of a Python worker, and characters from which a word isn't remembered; when full, it keeps the
-#: current batch's words only.
-MEMO, LONG = 1_200_000, 64
+#: Entries of each half of a Python worker's memo, and characters from which a word isn't remembered. When the younger
+#: half is full, it becomes the older one, from which words that are met again come back; the rest is forgotten.
+MEMO, LONG = 300_000, 64
 #: Documents whose sketches are sampled for each task; a term's postings are a dense row from this share of a shard on.
 SAMPLED, DENSE = 60, 1 / 8
 
@@ -87,6 +87,7 @@ class WordEncoder:
         shown = {b: c for c, b in byte_letters().items()}
         self.shown = {c: "".join(shown[b] for b in chr(c).encode()) for c in range(0x80, ord(PLAIN))}
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
@@ -107,33 +108,40 @@ class WordEncoder:
             return (letters.lower(), m[2])
         return (letters, m[2]) if top < SOUND and PLAIN not in letters and unicodedata.is_normalized("NFC", letters) else (word,)
 
-    def learn(self, words: set[str]) -> None:
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo = self.memo = {w: memo[w] for w in words if w in memo}
+    def learn(self, words: set[str]) -> set[str]:
+        """Puts the words into the memo's younger half; returns the parts that went there with them."""
+        if len(self.memo) > MEMO:
+            self.memo, self.older = {}, self.memo
+        memo, older = self.memo, self.older
         todo, several = set(), []
         for w in words.difference(memo):
+            if w in older:
+                memo[w] = older.pop(w)
+                continue
             p = self._parts(w)
             todo.update(p)
             if p != (w,):
                 several.append((w, p))
         hard = []
         for x in todo.difference(memo):
-            if x.isalpha() and max(x) < PLAIN:
+            if x in older:
+                memo[x] = older.pop(x)
+            elif x.isalpha() and max(x) < PLAIN:
                 memo[x] = self._plain(x)
             else:
                 hard.append(x)
         memo.update(zip(hard, self._encode(hard), strict=True))
         memo.update((w, b"".join([memo[x] for x in p])) for w, p in several)
+        return todo
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         odd = [any(x in t for x in ODD) for t in texts]
         split = [[] if o else folded(t).split() for o, t in zip(odd, texts, strict=True)]
         words = set().union(*split)
-        self.learn(words)
+        parts = self.learn(words)
         get = self.memo.__getitem__
         out = [np.frombuffer(self._encode([t])[0] if o else b"".join(map(get, ws)), "<u2") for o, ws, t in zip(odd, split, texts, strict=True)]
-        for w in words:
+        for w in words | parts:
             if len(w) >= LONG:
                 del self.memo[w]
         return out
@@ -287,6 +295,7 @@ def packed(df: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, s
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array([x.tobytes() for x in found], pa.binary()), pa.array(place, pa.binary()), pa.array(part, pa.int32())], ["doc_id", "tokens", "place", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()  # the encoder: this is another stage, and an index takes its own room
         end, id_kind = np.array([end_id], "<u2"), None
         names, docs, tokens, sequence = [], [], 0, TaskContext.get().partitionId() << 32
 

@@ -181,7 +181,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     if not all(sums[p] for p in parts):
         return Model(None)
     backoff = {p: sums[f"free_{p}"] / sums[p] for p in parts}
-    told = counts.where(" or ".join(f"{p} > {DISCOUNT}" for p in parts)).unionByName(counts.sparkSession.createDataFrame([(None, 0, 0, 0, 0)], counts.schema))
+    # made in the JVM: rows of Python objects would start further Python workers, of which executors keep the memory
+    no_word = counts.sparkSession.range(1).select(F.lit(None).cast("string").alias("word"), *[F.lit(0).cast("long").alias(p) for p in counts.columns[1:]])
+    told = counts.where(" or ".join(f"{p} > {DISCOUNT}" for p in parts)).unionByName(no_word)
     everywhere = word_counts(docs, text_col).withColumnRenamed("word", "w")
     got = everywhere.join(F.broadcast(told), F.col("w").eqNullSafe(F.col("word"))).select("word", "n", *parts).toArrow()
     word, n = got.column("word").to_pylist(), got.column("n").to_numpy()

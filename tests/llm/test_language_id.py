@@ -77,3 +77,9 @@ def test_scores_match_the_definition(spark):
     for r in languages(docs).collect():
         cos = want[r.doc_id]
         assert (r.lang_pred == names[cos.argmax()] and abs(r.score - min(1, max(0, cos.max()))) < 1e-4) or not cos.any()
+
+
+def test_gram_vectors_take_a_byte_a_component():
+    space = Space()
+    space.bundles(["the quick brown fox jumps over the lazy dog"])
+    assert len(space.keys) and space.grams.nbytes == len(space.keys) * space.grams.shape[1]

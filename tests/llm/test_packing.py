@@ -5,10 +5,13 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from keyloom.llm import packing
+from keyloom.llm.common import kept_by_worker, let_go, texts
 from keyloom.llm.packing import Index, WordEncoder, pack_shard, packed
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -127,3 +130,46 @@ def test_alike_documents_meet_wherever_the_table_has_them(spark):
     for r in rows:
         at[r.doc_id].add(r.sequence_id >> 32)
     assert sum(bool(at[k] & at[100 + k]) for k in range(16)) >= 12
+
+
+def test_memo_is_bounded_and_keeps_what_comes_again(monkeypatch):
+    """A batch's words may be new every time; those that return are not encoded twice."""
+    monkeypatch.setattr(packing, "MEMO", 400)
+    encoder, plain, asked = WordEncoder(PATH), WordEncoder._plain, []
+    monkeypatch.setattr(WordEncoder, "_plain", lambda self, w: asked.append(w) or plain(self, w))
+    letters = [a + b + c for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyz"]
+    for k in range(30):
+        text = " ".join(["constant", *(f"{x}{y}" for x in letters[k * 10 : k * 10 + 10] for y in "abcdefghij")])
+        assert encoder([text])[0].tolist() == T.encode(text, add_special_tokens=False).ids
+        assert len(encoder.memo) + len(encoder.older) <= 2 * (packing.MEMO + 101)
+    assert asked.count("constant") == 1
+    assert len(asked) == 3001
+
+
+def test_memo_of_a_worker_is_small():
+    """Two workers' memos must fit beside an executor's JVM: 800,000 distinct words came to more than a quarter of that room."""
+    encoder = WordEncoder(PATH)
+    for at in range(0, 800_000, 40_000):
+        encoder([" ".join("".join(chr(97 + n // 26**p % 26) for p in range(5)) for n in range(at, at + 40_000))])
+    assert sum(len(v) for v in vars(encoder).values() if isinstance(v, dict)) < 700_000
+
+
+def test_long_words_and_their_parts_are_not_kept():
+    encoder = WordEncoder(PATH)
+    text = " ".join(["x" * 500 + ".", "y" * 300, "Z" * 200, "short,"])
+    assert encoder([text])[0].tolist() == T.encode(text, add_special_tokens=False).ids
+    assert max(map(len, encoder.memo)) < packing.LONG
+
+
+def test_what_a_worker_keeps_can_go():
+    assert kept_by_worker("test", lambda: 1) == kept_by_worker("test", lambda: 2) == 1
+    let_go()
+    assert kept_by_worker("test", lambda: 2) == 2
+    let_go()
+
+
+def test_batches_are_bounded(spark):
+    """An executor holds a batch of each task several times over."""
+    df = texts(spark.range(64, numPartitions=1).selectExpr("repeat('x', 200000 + cast(id as int)) as text"), "text")
+    sizes = df.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in bs), "n long").collect()
+    assert 64 * 200_000 < sum(r.n for r in sizes) and max(r.n for r in sizes) < 3 << 20

@@ -79,3 +79,12 @@ def test_cases(spark):
     assert got[1][0].score > 0.7 > got[2][0].score
     assert {r.score for r in X.toxicity(d, y.where("toxic = 1")).collect()} == {0.0}
     assert X.toxicity(d.limit(0), y).count() == 0 and X.toxicity(d, y.limit(0)).count() == len(docs)
+
+
+def test_fit_starts_no_further_workers(spark, monkeypatch):
+    """Rows of Python objects go through workers of their own, which stay beside those that score."""
+    docs = spark.createDataFrame([(i, "you vile fool" if i % 2 else "a fine day out") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    monkeypatch.setattr(type(spark), "createDataFrame", None)
+    scores = {r.doc_id: r.score for r in X.toxicity(docs, labels).collect()}
+    assert min(scores[i] for i in range(60) if i % 2) > max(scores[i] for i in range(60) if not i % 2)
