@@ -412,3 +412,21 @@ def test_merged(spark):
     assert scan.merged(schema(), spark=spark).count() == 0
     assert [r.value for r in scan.merged(schema(), a, b, spark=spark).where("user_key = 'k'").collect()] == [1.0, 2.0]
     assert [r.value for r in scan.merged(schema(), a, b, spark=spark, reverse=True).where("user_key = 'k'").collect()] == [2.0, 1.0]
+
+
+@pytest.mark.parametrize("n", [1, 3, 7])
+@pytest.mark.parametrize("small", [0, 150, 1 << 40])
+def test_segments_are_cut_by_the_whole_order(spark, n, small):
+    # few keys of many versions, so that some run over several ranges
+    ops = [(f"{i % 7 % 4}", i + 1, 1, float(i)) for i in range(300)] + [(f"9{i:03}", 301 + i, 1, 0.0) for i in range(95)]
+    log = spark.createDataFrame(ops, schema())
+    keep, newer = [], (None, 0)
+    for k, s, _, _ in sorted(ops, key=lambda r: (r[0], -r[1])):
+        if not (newer[0] == k and newer[1] <= small):
+            keep.append((k, s))
+        newer = (k, s)
+    first = {}
+    for i, (k, _) in enumerate(keep):
+        first.setdefault(k, i)
+    got = compaction.rewritten(log, small, 10, n=n).select("user_key", "seq", "segment_id")
+    assert sorted(map(tuple, got.collect())) == sorted((k, s, first[k] // 10) for k, s in keep)
