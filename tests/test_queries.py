@@ -28,3 +28,14 @@ def test_query(spark, duck, name):
     assert sorted(want.columns) == sorted(df.columns)
     at = [want.columns.index(c) for c in sorted(want.columns)]
     assert got == sorted(tuple(str(r[i]) for i in at) for r in want.fetchall())
+
+
+@pytest.mark.parametrize("ids", [range(9), range(4), range(5, 9), range(0)])
+def test_steps_of_the_log(spark, duck, tmp_path, ids):
+    """Also where the number of events is a multiple of the steps', and where a step has none."""
+    rows = [f"select cast({i} as bigint) event_id, now()::timestamp ts, cast({i % 3} as bigint) user_id, '{'error' if i in (5, 7) else 'view'}' event_type, 1.0::double as value, '' props" for i in ids]
+    sql = " union all ".join(rows) or "select * from events limit 0"
+    duck.execute(f"copy ({sql}) to '{tmp_path}/events.parquet' (format parquet)")
+    got = catalogue.QUERIES["kv_read_while_writing"](spark, str(tmp_path)).select("step", "live").collect()
+    want = duck.execute(f"with events as ({sql}) select * from ({catalogue.ORACLE['kv_read_while_writing']})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
