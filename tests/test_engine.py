@@ -430,3 +430,9 @@ def test_segments_are_cut_by_the_whole_order(spark, n, small):
         first.setdefault(k, i)
     got = compaction.rewritten(log, small, 10, n=n).select("user_key", "seq", "segment_id")
     assert sorted(map(tuple, got.collect())) == sorted((k, s, first[k] // 10) for k, s in keep)
+
+
+def test_varints_of_more_than_five_bytes(spark):
+    ns = [0, 127, 128, 2**35 - 1, 2**35, 4_338_899 * 7919, 2**42, 2**63 - 1]
+    got = spark.createDataFrame([(n,) for n in ns], "n long").select("n", keys.varint(F.col("n")).alias("b"), fmt.get_varint_udf(keys.varint(F.col("n"))).alias("back")).collect()
+    assert [(r.n, bytes(r.b), r.back) for r in got] == [(n, fmt.put_varint(n), n) for n in ns]
