@@ -432,6 +432,13 @@ def test_segments_are_cut_by_the_whole_order(spark, n, small):
     assert sorted(map(tuple, got.collect())) == sorted((k, s, first[k] // 10) for k, s in keep)
 
 
+def test_a_rewrite_deals_its_rows_once(spark):
+    log = spark.createDataFrame(random_log(4), schema())
+    plan = compaction.rewritten(log, 150, 10, n=3)._jdf.queryExecution().executedPlan().toString()
+    # the rows, and keys alone for what each range holds
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 def test_varints_of_more_than_five_bytes(spark):
     ns = [0, 127, 128, 2**35 - 1, 2**35, 4_338_899 * 7919, 2**42, 2**63 - 1]
     got = spark.createDataFrame([(n,) for n in ns], "n long").select("n", keys.varint(F.col("n")).alias("b"), fmt.get_varint_udf(keys.varint(F.col("n"))).alias("back")).collect()
