@@ -28,7 +28,7 @@ import unicodedata
 import zlib
 from array import array
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +48,8 @@ SKETCH, SEED = 8, 42
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 #: Letters and ASCII marks behind them.
 MARKED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)")
+#: Marks that end a word behind a lower-case Latin-1 letter; the search looks for marks first, which are few.
+BEHIND = re.compile(r"[!-/:-@\[-`{-~](?<=[a-zß-öø-ÿ][!-/:-@\[-`{-~])[!-/:-@\[-`{-~]*(?!\S)")
 #: Below the first, letters lower one by one, to letters; below the second and composed, only the first is lowered to
 #: more than letters, which would join the marks behind a word.
 PLAIN, SOUND = "\u0130", "\u0530"
@@ -61,21 +63,31 @@ SAMPLED, DENSE = 60, 1 / 8
 
 
 def folded(text: str) -> str:
-    """Lower case, where that is certain to be the tokenizer's: fewer spellings to remember."""
+    """Lower case and marks behind letters apart, where that is certain to be the tokenizer's: fewer spellings to remember."""
     if not text.isascii():
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return text
-    return text.lower()
+    return BEHIND.sub(r" \g<0>", text.lower())
+
+
+class Memo(dict):
+    """Ids by word, where a word that isn't there is asked for: those that are cost one look-up."""
+
+    def __init__(self, ask: Callable[[str], bytes]):
+        self.ask = ask
+
+    def __missing__(self, word: str) -> bytes:
+        return self.ask(word)
 
 
 class WordEncoder:
     """Token ids of texts for a tokenizer whose tokens never cross white space, memoised by word.
 
     Case is dropped by the tokenizer, and a word of letters and marks behind it falls into two, so most new words are
-    spellings of known ones. Plain words go straight to the library's merges; all else is encoded by the library in
-    one call for a batch of texts.
+    spellings of known ones: where a text can be folded, they are made alike before it is split. Plain words go straight
+    to the library's merges; all else is encoded by the library.
     """
 
     def __init__(self, path: str):
@@ -86,11 +98,11 @@ class WordEncoder:
         self.merges = self.library.model
         shown = {b: c for c, b in byte_letters().items()}
         self.shown = {c: "".join(shown[b] for b in chr(c).encode()) for c in range(0x80, ord(PLAIN))}
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.memo, self.older = Memo(self._unknown), {}
+        self.long: dict[str, bytes] = {}  # of the texts at hand only
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        return [array("H", e.ids).tobytes() for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
+    def _encode(self, text: str) -> bytes:
+        return array("H", self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def _plain(self, word: str) -> bytes:
         """Ids of a lower-case word of plain letters."""
@@ -99,7 +111,7 @@ class WordEncoder:
     @staticmethod
     def _parts(word: str) -> tuple[str, ...]:
         if word.isalpha():
-            return (word.lower(),) if max(word) < PLAIN else (word,)
+            return (word.lower(),) if word.isascii() or max(word) < PLAIN else (word,)
         m = MARKED.fullmatch(word)
         if not m or not m[1].isalpha():
             return (word,)
@@ -108,42 +120,30 @@ class WordEncoder:
             return (letters.lower(), m[2])
         return (letters, m[2]) if top < SOUND and PLAIN not in letters and unicodedata.is_normalized("NFC", letters) else (word,)
 
-    def learn(self, words: set[str]) -> set[str]:
-        """Puts the words into the memo's younger half; returns the parts that went there with them."""
-        if len(self.memo) > MEMO:
-            self.memo, self.older = {}, self.memo
-        memo, older = self.memo, self.older
-        todo, several = set(), []
-        for w in words.difference(memo):
-            if w in older:
-                memo[w] = older.pop(w)
-                continue
-            p = self._parts(w)
-            todo.update(p)
-            if p != (w,):
-                several.append((w, p))
-        hard = []
-        for x in todo.difference(memo):
-            if x in older:
-                memo[x] = older.pop(x)
-            elif x.isalpha() and max(x) < PLAIN:
-                memo[x] = self._plain(x)
+    def _unknown(self, word: str) -> bytes:
+        """Ids of a word that the memo's younger half doesn't hold, which has it from now on unless it is long."""
+        held = self.memo if len(word) < LONG else self.long
+        if (ids := self.older.pop(word, None) if held is self.memo else held.get(word)) is None:
+            parts = self._parts(word)
+            if parts != (word,):
+                ids = b"".join([self.memo[x] for x in parts])
+            elif word.isalpha() and (word.isascii() or max(word) < PLAIN):
+                ids = self._plain(word)
             else:
-                hard.append(x)
-        memo.update(zip(hard, self._encode(hard), strict=True))
-        memo.update((w, b"".join([memo[x] for x in p])) for w, p in several)
-        return todo
+                ids = self._encode(word)
+        held[word] = ids
+        return ids
+
+    def _ids(self, text: str) -> bytes:
+        if any(x in text for x in ODD):
+            return self._encode(text)
+        if len(self.memo) > MEMO:
+            self.memo, self.older = Memo(self._unknown), self.memo
+        return b"".join(map(self.memo.__getitem__, folded(text).split()))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        odd = [any(x in t for x in ODD) for t in texts]
-        split = [[] if o else folded(t).split() for o, t in zip(odd, texts, strict=True)]
-        words = set().union(*split)
-        parts = self.learn(words)
-        get = self.memo.__getitem__
-        out = [np.frombuffer(self._encode([t])[0] if o else b"".join(map(get, ws)), "<u2") for o, ws, t in zip(odd, split, texts, strict=True)]
-        for w in words | parts:
-            if len(w) >= LONG:
-                del self.memo[w]
+        out = [np.frombuffer(self._ids(t), "<u2") for t in texts]
+        self.long.clear()
         return out
 
 
@@ -156,10 +156,10 @@ class Sketch:
 
     def __init__(self):
         rng = np.random.default_rng(SEED)
-        self.place = np.stack([rng.permutation(1 << 16) for _ in range(SKETCH)], axis=1).astype(">u2")
+        self.place = np.stack([rng.permutation(1 << 16) for _ in range(SKETCH)]).astype(np.uint16)
 
     def __call__(self, ids: np.ndarray) -> bytes:
-        return self.place[ids].min(axis=0).astype(">u2").tobytes() if len(ids) else b"\xff" * 2 * SKETCH
+        return self.place.take(ids, axis=1).min(axis=1).astype(">u2").tobytes() if len(ids) else b"\xff" * 2 * SKETCH
 
 
 class Index:

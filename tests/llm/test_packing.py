@@ -32,6 +32,20 @@ def test_ids_of_any_letters(parts):
     assert E([text])[0].tolist() == T.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=1500, deadline=None)
+@given(st.text(alphabet="aBstdZéßÿÀªºµ×÷²½'.,!_-|12 \n\t\xa0\x85\xad", max_size=30))
+def test_ids_of_latin_letters(text):
+    assert E([text])[0].tolist() == T.encode(text, add_special_tokens=False).ids
+
+
+def test_spellings_of_a_word_are_remembered_once():
+    """A memo of spellings is full so soon that most of its words are met again as new ones."""
+    encoder, marks = WordEncoder(PATH), ["", ",", ".", "!?", "...", ')"']
+    text = " ".join(w + m for w in ("naïve", "Naïve", "word", "WORD", "time") for m in marks)
+    assert encoder([text])[0].tolist() == T.encode(text, add_special_tokens=False).ids
+    assert set(encoder.memo) == {"naïve", "word", "time", *marks[1:]}
+
+
 def test_special_strings():
     for text in ("BELEDİYESİ.", "TARİHİ, x", "क़.", "x" * 500 + ".", "a<|endoftext|>b", "<|startoftext|>", "Don't STOP...,. it's 12.5%", "tion.Nd,"):
         assert E([text])[0].tolist() == T.encode(text, add_special_tokens=False).ids
