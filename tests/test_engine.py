@@ -439,6 +439,16 @@ def test_a_rewrite_deals_its_rows_once(spark):
     assert plan.count("Exchange hashpartitioning") == 2
 
 
+def test_a_rewrite_without_its_segments_orders_its_rows_once(spark):
+    """What ranges hold is summed up before it is dealt where no segment is asked for."""
+    log = spark.createDataFrame(random_log(4), schema())
+    out = compaction.rewritten(log, 150, 10, n=3).select("user_key", "seq", "op", "value")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    by_range = [x for x in plan.splitlines() if "Window [" in x and "user_key" in x and "[_range#" in x]
+    assert len(by_range) == 1
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, compaction.kept(log, 150).collect()))
+
+
 def test_varints_of_more_than_five_bytes(spark):
     ns = [0, 127, 128, 2**35 - 1, 2**35, 4_338_899 * 7919, 2**42, 2**63 - 1]
     got = spark.createDataFrame([(n,) for n in ns], "n long").select("n", keys.varint(F.col("n")).alias("b"), fmt.get_varint_udf(keys.varint(F.col("n"))).alias("back")).collect()
